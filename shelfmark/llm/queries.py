@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import residue
+from shelfmark.llm import forms, residue
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return forms.look_alike_pairs(forms.library_texts(_table(spark, sf, "versions"), _table(spark, sf, "pages")))
+
+
+def p6_page_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return forms.with_one_form(_table(spark, sf, "pages").select("version_id", "number", "text"), "text").select("version_id", "number", F.md5("form").alias("form_md5")).distinct()
+
+
+def p6_token_states(spark: SparkSession, sf: str) -> DataFrame:
+    return forms.token_report(_table(spark, sf, "pages"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(_table(spark, sf, "documents")).select("doc_id").distinct()
 
@@ -20,6 +32,6 @@ def p10_residue_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(_table(spark, sf, "documents")).groupBy("kind").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p10_found, p10_residue_kinds)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_page_forms, p6_token_states, p10_found, p10_residue_kinds)}
 
 SQL: dict[str, str] = {}
