@@ -87,6 +87,12 @@ def _script(ch: str) -> str | None:
 _GROUP = {ch: line.split() for line in LOOK_ALIKES.strip().splitlines() for ch in line.split()}
 
 
+#: A letter of another script that has a look-alike, and a token with one: all other tokens are in their one spelling.
+_FOREIGN = "".join(sorted(ch for ch in _GROUP if _script(ch) != "Latin"))
+_HAS_FOREIGN = re.compile(f"[{_FOREIGN}]")
+_FOREIGN_TOKEN = re.compile(rf"[^\W_]*[{_FOREIGN}](?:[^\W_]|[\u0300-\u036f])*")
+
+
 @lru_cache(maxsize=4096)
 def _spellings(ch: str) -> dict[str, str] | None:
     """Script to spelling of a letter; null for characters that belong to every script."""
@@ -133,9 +139,9 @@ def one_form(text: str) -> str:
     else:
         text = unicodedata.normalize("NFKC", _HYPHEN.sub("-", text))
     text = _SPACES.sub(" ", _INVISIBLE.sub("", _HYPHEN.sub("-", text)))
-    if _OTHER_LETTERS.search(text):
-        text = _TOKEN.sub(lambda m: consistent_spelling(m.group()), text)
-    return unicodedata.normalize("NFC", text)
+    if _HAS_FOREIGN.search(text):
+        text = unicodedata.normalize("NFC", _FOREIGN_TOKEN.sub(lambda m: consistent_spelling(m.group()), text))
+    return text
 
 
 def with_one_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import forms, residue
+from shelfmark.llm import forms, leakage, residue
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def p6_token_states(spark: SparkSession, sf: str) -> DataFrame:
     return forms.token_report(_table(spark, sf, "pages"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
+
+
+def p9_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.without_leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items")).select("doc_id")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(_table(spark, sf, "documents")).select("doc_id").distinct()
 
@@ -32,6 +40,6 @@ def p10_residue_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(_table(spark, sf, "documents")).groupBy("kind").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_page_forms, p6_token_states, p10_found, p10_residue_kinds)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_page_forms, p6_token_states, p9_found, p9_clean_documents, p10_found, p10_residue_kinds)}
 
 SQL: dict[str, str] = {}
