@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import forms, leakage, ocr, residue
+from shelfmark.llm import forms, language, leakage, ocr, residue
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    cases = language.language_cases(_table(spark, sf, "documents"), _table(spark, sf, "versions"), _table(spark, sf, "pages"))
+    return cases.select("table_name", "row_key", "page_number", "segment", "lang").distinct()
+
+
+def p4_document_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return language.document_languages(_table(spark, sf, "documents"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return ocr.find_defects(_table(spark, sf, "pages"), _table(spark, sf, "extractions"))
 
@@ -48,6 +57,6 @@ def p10_residue_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(_table(spark, sf, "documents")).groupBy("kind").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_repaired_pages, p6_found, p6_page_forms, p6_token_states, p9_found, p9_clean_documents, p10_found, p10_residue_kinds)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_document_languages, p5_found, p5_repaired_pages, p6_found, p6_page_forms, p6_token_states, p9_found, p9_clean_documents, p10_found, p10_residue_kinds)}
 
 SQL: dict[str, str] = {}
