@@ -35,9 +35,9 @@ DIMENSIONS = 2048
 CENTROIDS = 3
 SAMPLE_DOCUMENTS = 3000
 #: Paragraphs with fewer letters are rejected.
-LEAST_LETTERS = 24
+LEAST_LETTERS = 36
 #: Least cosine, as a share of what that language's own sample paragraphs reach on average.
-REJECT_SHARE = 0.35
+REJECT_SHARE = 0.38
 #: Least lead over the second language, as a share of the cosine.
 LEAST_LEAD = 0.12
 #: Paragraphs in one matrix.
