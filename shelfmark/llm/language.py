@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.arrow import map_batches_from
 from shelfmark.llm.forms import one_form
 from shelfmark.llm.residue import residue_kind
+from shelfmark.llm.sample import bounded_sample
 from shelfmark.operators.skew import heavy_keys, lookup
 from shelfmark.session import written
 
@@ -199,7 +200,7 @@ class LanguageModel:
 
 def fit_on(documents: DataFrame) -> LanguageModel:
     """The model from a bounded sample of documents whose label names a language."""
-    rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()
+    rows = bounded_sample(documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text"), ["doc_id"], SAMPLE_DOCUMENTS)
     labelled = [(p, lang) for r in rows if (lang := label_language(r.lang)) for p in paragraphs(r.text)[:6] if len(p) >= 40]
     return LanguageModel.fit(labelled)
 

@@ -30,10 +30,12 @@ from pyspark.sql.types import _parse_datatype_string
 
 from shelfmark.llm.arrow import map_batches
 from shelfmark.llm.perceptron import AveragedPerceptron, feature_ids
+from shelfmark.llm.sample import bounded_sample
 
 ORDINARY_SHARE = 2e-5
 #: An ordinary word occurs at least so often.
 ORDINARY_LEAST = 4
+#: Pages of the sample at most: the first ones of whole versions.
 TRAINING_PAGES = 3000
 TRAINING_EPOCHS = 8
 BLOCK_PAGES = 64
@@ -520,8 +522,9 @@ def _recased(token: str, t: str, word: str) -> str:
 
 def train(pages: DataFrame, scanned: DataFrame, words: dict[str, int]) -> tuple[AveragedPerceptron, AveragedPerceptron | None]:
     """The character editor and the furniture model, from a bounded sample of scanned pages."""
-    ids = F.xxhash64("version_id")
-    rows = scanned.select("version_id", "number", "text").orderBy(ids, "version_id", "number").limit(TRAINING_PAGES).collect()
+    own = scanned.filter("number between 1 and 20").groupBy("version_id").agg(F.count("*").alias("n"))
+    share = bounded_sample(own, ["version_id"], TRAINING_PAGES // 5)
+    rows = scanned.filter(F.col("version_id").isin([r.version_id for r in share])).filter("number between 1 and 20").orderBy("version_id", "number").limit(TRAINING_PAGES).collect()
     editor = train_editor(training_pairs([r.text for r in rows], words), words)
     versions: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
     for r in rows:
