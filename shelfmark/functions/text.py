@@ -17,12 +17,15 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
 
 
-@F.pandas_udf("string")
-def folded_exact(s: pd.Series) -> pd.Series:
-    """Exact folding; null stays null."""
+def _fold_series(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else fold(t))
 
 
+def folded_exact(col: Column) -> Column:
+    """Exact folding in Arrow batches; null stays null."""
+    return F.pandas_udf(_fold_series, "string")(col)
+
+
 def folded(col: Column) -> Column:
     """Native folding: equal to the exact one on text without compatibility forms."""
     return F.regexp_replace(F.regexp_replace(F.lower(col), "ß", "ss"), r"[^\p{L}\p{N}]", "")

@@ -155,6 +155,16 @@ def media_table(extractions: DataFrame) -> DataFrame:
     return shredded(extractions).select("version_id", F.inline("media")).distinct()
 
 
+def asset_references(extractions: DataFrame) -> DataFrame:
+    """version_id, asset, kind (preview, image, table, media): every reference of a record to an asset."""
+    one = lambda kind, x: F.struct(x.alias("asset"), F.lit(kind).alias("kind"))
+    images = F.flatten(F.transform("pages", lambda p: F.transform(F.coalesce(F.from_json(F.when(p["images"].startswith("["), p["images"]), "array<string>"), F.array().cast("array<string>")), lambda x: one("image", x))))
+    every = F.concat(
+        F.transform("pages", lambda p: one("preview", p["preview"])), images, F.transform("tables", lambda t: one("table", t["asset"])), F.transform("media", lambda m: one("media", m["asset"]))
+    )
+    return shredded(extractions).select("version_id", F.inline(every)).filter(F.coalesce("asset", F.lit("")) != "").distinct()
+
+
 def links(extractions: DataFrame) -> DataFrame:
     """version_id, child_kind, parent_key, child_key: every child object once, over all five tables."""
 

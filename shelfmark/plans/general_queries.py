@@ -84,12 +84,12 @@ def p7_rings(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p1_tables, p1_cells, p1_assets, p1_media, p2_found, p2_orphan_counts, p3_found, p3_partition_fingerprints, p7_found, p7_paths, p7_descendants, p7_descendant_counts, p7_rings)}
 
-_IN_EFFECT = """eff AS (
-  SELECT file_id, parent_id, name, kind, captured_at, removed_at FROM (
+IN_EFFECT_SQL = """eff AS (
+  SELECT file_id, parent_id, name, kind, captured_at, removed_at, size, integrity['sha256'] AS sha256 FROM (
     SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY captured_at DESC NULLS LAST, parent_id DESC NULLS LAST, name DESC NULLS LAST, kind DESC NULLS LAST, removed_at DESC NULLS LAST) AS rn
     FROM entries WHERE file_id IS NOT NULL) WHERE rn = 1)"""
 
-_ORPHANS = f"""{_IN_EFFECT},
+_ORPHANS = f"""{IN_EFFECT_SQL},
 refs AS (
   SELECT 'entries' AS table_name, 'parent_id' AS field_name, file_id AS row_key, parent_id AS k, parent_id AS missing_key, captured_at AS ref_at FROM eff WHERE trim(parent_id) <> ''
   UNION ALL
@@ -112,7 +112,7 @@ docs AS (
   SELECT d.document_id, d.source_path, c.cutoff, row_number() OVER (PARTITION BY d.document_id ORDER BY length(c.root) DESC NULLS LAST) AS rn
   FROM documents d LEFT JOIN cut c ON starts_with(d.source_path, c.root || '/'))"""
 
-_TREE = f"""{_IN_EFFECT},
+TREE_SQL = f"""{IN_EFFECT_SQL},
 nodes AS (
   SELECT file_id, CASE WHEN trim(parent_id) <> '' THEN parent_id END AS parent_id, name FROM eff),
 walk AS (
@@ -135,13 +135,13 @@ placed AS (
   UNION ALL
   SELECT r.file_id, r.top_id, -1, 'cycle', n.name, [r.file_id] FROM ringed r JOIN nodes n ON n.file_id = r.file_id)"""
 
-_RECORD = """clean AS (
+RECORD_SQL = """clean AS (
   SELECT version_id, regexp_replace(payload, '^[\\s\\x{FEFF}]+|\\s+$', '', 'g') AS p FROM extractions),
 one AS (
   SELECT version_id, CASE WHEN p LIKE '"%' AND json_valid(p) THEN regexp_replace(p::JSON->>'$', '^[\\s\\x{FEFF}]+|\\s+$', '', 'g') ELSE p END AS p FROM clean),
 rec AS (SELECT version_id, p::JSON AS j FROM one WHERE p LIKE '{%' AND json_valid(p)),
 pg AS (
-  SELECT version_id, coalesce(x->>'$.number', CAST(i AS VARCHAR)) AS page, i AS ordinal, x->>'$.text' AS text, x->>'$.preview' AS preview, x->'$.tables' AS tables FROM (
+  SELECT version_id, coalesce(x->>'$.number', CAST(i AS VARCHAR)) AS page, i AS ordinal, x->>'$.text' AS text, x->>'$.preview' AS preview, x->'$.tables' AS tables, x->'$.images' AS images FROM (
     SELECT version_id, unnest(CASE json_type(j->'$.pages') WHEN 'ARRAY' THEN (j->'$.pages')::JSON[] WHEN 'OBJECT' THEN [j->'$.pages'] END) AS x, generate_subscripts(CASE json_type(j->'$.pages') WHEN 'ARRAY' THEN (j->'$.pages')::JSON[] WHEN 'OBJECT' THEN [j->'$.pages'] END, 1) AS i FROM rec)),
 tb AS (
   SELECT version_id, page, x->>'$.id' AS tid, i AS ordinal, x->>'$.rows' AS n_rows, x->>'$.cols' AS n_cols, x->>'$.asset' AS asset, x->'$.cells' AS cells FROM (
@@ -157,17 +157,17 @@ md AS (
     SELECT version_id, unnest(CASE json_type(j->'$.embedded_media') WHEN 'ARRAY' THEN (j->'$.embedded_media')::JSON[] WHEN 'OBJECT' THEN [j->'$.embedded_media'] END) AS x, generate_subscripts(CASE json_type(j->'$.embedded_media') WHEN 'ARRAY' THEN (j->'$.embedded_media')::JSON[] WHEN 'OBJECT' THEN [j->'$.embedded_media'] END, 1) AS i FROM rec))"""
 
 SQL = {
-    "p1_found": f"""WITH {_RECORD}
+    "p1_found": f"""WITH {RECORD_SQL}
 SELECT DISTINCT version_id, 'page' AS child_kind, version_id AS parent_key, page AS child_key FROM pg
 UNION SELECT version_id, 'table', page, tid FROM tb
 UNION SELECT version_id, 'cell', tid, (x->>'$.row') || ',' || (x->>'$.col') FROM ce
 UNION SELECT version_id, 'asset', '', asset FROM ast
 UNION SELECT version_id, 'media', coalesce(asset, ''), package_part FROM md""",
-    "p1_pages": f"WITH {_RECORD} SELECT DISTINCT version_id, page, ordinal::INTEGER AS ordinal, text, preview FROM pg",
-    "p1_tables": f'WITH {_RECORD} SELECT DISTINCT version_id, page, tid AS "table", ordinal::INTEGER AS ordinal, n_rows AS "rows", n_cols AS cols, asset FROM tb',
-    "p1_cells": f"""WITH {_RECORD} SELECT DISTINCT version_id, page, tid AS "table", ordinal::INTEGER AS ordinal, x->>'$.row' AS "row", x->>'$.col' AS col, x->>'$.rowspan' AS rowspan, x->>'$.colspan' AS colspan, x->>'$.text' AS text, (x->>'$.header')::BOOLEAN AS header FROM ce""",
-    "p1_assets": f"WITH {_RECORD} SELECT DISTINCT version_id, asset, v->>'$.sha256' AS sha256, v->>'$.bytes' AS bytes, v->>'$.media_type' AS media_type, v->>'$.role' AS role FROM ast",
-    "p1_media": f"WITH {_RECORD} SELECT DISTINCT version_id, asset, package_part, ordinal::INTEGER AS ordinal FROM md",
+    "p1_pages": f"WITH {RECORD_SQL} SELECT DISTINCT version_id, page, ordinal::INTEGER AS ordinal, text, preview FROM pg",
+    "p1_tables": f'WITH {RECORD_SQL} SELECT DISTINCT version_id, page, tid AS "table", ordinal::INTEGER AS ordinal, n_rows AS "rows", n_cols AS cols, asset FROM tb',
+    "p1_cells": f"""WITH {RECORD_SQL} SELECT DISTINCT version_id, page, tid AS "table", ordinal::INTEGER AS ordinal, x->>'$.row' AS "row", x->>'$.col' AS col, x->>'$.rowspan' AS rowspan, x->>'$.colspan' AS colspan, x->>'$.text' AS text, (x->>'$.header')::BOOLEAN AS header FROM ce""",
+    "p1_assets": f"WITH {RECORD_SQL} SELECT DISTINCT version_id, asset, v->>'$.sha256' AS sha256, v->>'$.bytes' AS bytes, v->>'$.media_type' AS media_type, v->>'$.role' AS role FROM ast",
+    "p1_media": f"WITH {RECORD_SQL} SELECT DISTINCT version_id, asset, package_part, ordinal::INTEGER AS ordinal FROM md",
     "p2_found": f"WITH {_ORPHANS} SELECT * FROM found",
     "p2_orphan_counts": f"""WITH {_ORPHANS},
 tot AS (SELECT table_name, field_name, strftime(ref_at, '%Y-%m') AS period_month, count(DISTINCT (row_key, k)) AS n_references FROM refs GROUP BY ALL),
@@ -181,10 +181,10 @@ FROM tot t LEFT JOIN orp o USING (table_name, field_name, period_month)""",
 SELECT d.source_path, lower(v.source_hash) AS source_hash FROM versions v JOIN docs d ON d.document_id = v.document_id AND d.rn = 1
 WHERE v.source_hash IS NOT NULL GROUP BY d.source_path, lower(v.source_hash)
 HAVING max(d.cutoff) IS NULL OR min(v.landed_at) > max(d.cutoff)""",
-    "p7_found": f"WITH RECURSIVE {_TREE} SELECT file_id, top_id, tree_depth, tree_state FROM placed",
-    "p7_paths": f"WITH RECURSIVE {_TREE} SELECT file_id, path FROM placed",
-    "p7_descendants": f"WITH RECURSIVE {_TREE} SELECT unnest(line) AS ancestor_id, file_id, (len(line) - generate_subscripts(line, 1))::BIGINT AS distance FROM placed",
-    "p7_descendant_counts": f"""WITH RECURSIVE {_TREE}, d AS (SELECT unnest(line) AS ancestor_id, file_id, (len(line) - generate_subscripts(line, 1))::BIGINT AS distance FROM placed)
+    "p7_found": f"WITH RECURSIVE {TREE_SQL} SELECT file_id, top_id, tree_depth, tree_state FROM placed",
+    "p7_paths": f"WITH RECURSIVE {TREE_SQL} SELECT file_id, path FROM placed",
+    "p7_descendants": f"WITH RECURSIVE {TREE_SQL} SELECT unnest(line) AS ancestor_id, file_id, (len(line) - generate_subscripts(line, 1))::BIGINT AS distance FROM placed",
+    "p7_descendant_counts": f"""WITH RECURSIVE {TREE_SQL}, d AS (SELECT unnest(line) AS ancestor_id, file_id, (len(line) - generate_subscripts(line, 1))::BIGINT AS distance FROM placed)
 SELECT ancestor_id, count(*) AS n_descendants, max(distance) AS max_distance FROM d WHERE distance > 0 GROUP BY ancestor_id""",
-    "p7_rings": f"WITH RECURSIVE {_TREE} SELECT top_id AS ring_id, file_id FROM placed WHERE tree_state = 'cycle'",
+    "p7_rings": f"WITH RECURSIVE {TREE_SQL} SELECT top_id AS ring_id, file_id FROM placed WHERE tree_state = 'cycle'",
 }
