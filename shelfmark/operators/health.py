@@ -48,7 +48,7 @@ def settle_states(observed: DataFrame, previous: DataFrame, now: float, settle:
     observed: path, signature, mtime. previous: path, signature, stable_since. A new or changed file starts its time anew.
     """
     old = previous.select("path", F.col("signature").alias("_old"), F.col("stable_since").alias("_since"))
-    joined = observed.join(old, "path", "left")
+    joined = observed.select("path", "signature", "mtime").join(old, "path", "left")
     same = F.coalesce(F.col("_old") == F.col("signature"), F.lit(False))
     since = F.when(same, F.col("_since")).otherwise(F.lit(float(now)))
     waiting = ~same | (F.lit(float(now)) - since < settle) | (F.lit(float(now)) - F.col("mtime") < settle)

@@ -40,7 +40,8 @@ def scoped(entries: DataFrame, places: DataFrame, roots: DataFrame) -> DataFrame
     """The entries under some root, with archived: whether that root is an archive. places: of ``hierarchy.places``."""
     roles = roots.groupBy(F.col("file_id").alias("top_id")).agg(F.max(F.col("root_role") == "archive").alias("archived"))
     few = places.filter(F.col("tree_state") == "rooted").select("file_id", "top_id")
-    return entries.join(few.join(roles, "top_id"), "file_id")
+    own = [c for c in ("file_id", "parent_id", "name", "kind", "size", "sha256", "captured_at", "removed_at") if c in entries.columns]
+    return entries.select(*own).join(few.join(roles, "top_id"), "file_id")
 
 
 def file_class() -> Column:

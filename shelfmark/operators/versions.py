@@ -10,9 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+COLUMNS = ["document_id", "fingerprint", "source_hash", "markdown_hash", "extraction_hash", "brief_hash", "metadata", "filename", "quality", "created_at"]
+
+
 def once(versions: DataFrame) -> DataFrame:
-    """One row per version_id; landed_at (where there) is the earliest."""
-    cols = [c for c in versions.columns if c not in ("version_id", "landed_at")]
+    """One row per version_id of the known columns that are there; landed_at (where there) is the earliest."""
+    cols = [c for c in COLUMNS if c in versions.columns]
     landed = [F.min("landed_at").alias("landed_at")] if "landed_at" in versions.columns else []
     grouped = versions.filter(F.col("version_id").isNotNull()).groupBy("version_id").agg(F.max(F.struct(*cols)).alias("_v"), *landed)
     return grouped.select("version_id", *[F.col(f"_v.{c}").alias(c) for c in cols], *(["landed_at"] if landed else []))

@@ -22,14 +22,21 @@ INVENTORY_SCHEMA = T.StructType([
 ])
 
 
-def list_files(spark: SparkSession, roots: list[str], with_content: bool = False) -> DataFrame:
-    """path, length, modified, suffix (and content) of the files under the roots with an ingested extension, within the size cap.
+def list_files(spark: SparkSession, roots: list[str], with_content: bool = False, with_empty: bool = True) -> DataFrame:
+    """path, length, suffix (and content) of the files under the roots with an ingested extension, within the size cap.
 
-    Without content only the listing is read.
+    Without content only the listing is read. The reader leaves out files of length 0; with_empty adds them from the
+    driver's listing of paths.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    out = files.select(path.alias("path"), "length", F.col("modificationTime").alias("modified"), suffix(F.substring_index("path", "/", -1)).alias("suffix"), *(["content"] if with_content else []))
+    clean = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    extra = ["content"] if with_content else []
+    out = files.select(clean("path").alias("path"), "length", *extra)
+    if with_empty:
+        listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "p string").select(clean(F.try_url_decode(F.replace("p", F.lit("+"), F.lit("%2B")))).alias("path"))
+        empty = listed.join(out.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), *[F.lit(b"").alias(c) for c in extra])
+        out = out.unionByName(empty)
+    out = out.withColumn("suffix", suffix(F.substring_index("path", "/", -1)))
     return out.filter(F.col("suffix").isin(EXTENSIONS) & (F.col("length") <= MAX_FILE_BYTES))
 
 
