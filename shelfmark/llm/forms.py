@@ -145,7 +145,8 @@ def one_form(text: str) -> str:
 
 
 def with_one_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
-    """Adds ``out``, the one form of ``text``. ASCII texts do not go through Python."""
+    """Adds ``out`` (in place of a column of that name), the one form of ``text``. ASCII texts do not go through Python."""
+    df = df.drop(out)
     plain = F.coalesce(~F.col(text).rlike(r"[^\x00-\x7F]"), F.lit(True))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     other = map_batches(df.filter(~plain), lambda c: {**c, out: [one_form(t) for t in c[text]]}, f"{fields}, `{out}` string")

@@ -319,6 +319,7 @@ def same_running(a: tuple[str, tuple], b: tuple[str, tuple]) -> bool:
 
 
 def _looks_like_heading(line: str) -> bool:
+    """Neither the beginning nor the end nor the middle of running text."""
     s = line.strip()
     return not s[:1].islower() and s[-1:] not in MARKS + ".,;:。，；：" and not re.search(r"[.,;] [^\W\d]|[。，；]", s.replace("Ed. ", "").replace("Rev. ", ""))
 
@@ -382,7 +383,7 @@ class Repairer:
                 if len({m[0] for m in members}) >= 2:
                     exact = Counter(m[2] for m in members)
                     for n, i, own, rank in members:
-                        if self._is_furniture(pages[n][1], i, rank, side) or self.furniture and exact[own] >= 2 and _looks_like_heading(pages[n][1][i]):
+                        if _looks_like_heading(pages[n][1][i]) and (exact[own] >= 2 or self._is_furniture(pages[n][1], i, rank, side)):
                             running[n, i] = side
         out = {}
         for (n, _side), order in edges.items():  # furniture is what reaches from the edge without a text line between
@@ -552,7 +553,7 @@ def scanned_pages(pages: DataFrame, extractions: DataFrame) -> DataFrame:
     """version_id, number, text of the pages of scanned versions."""
     marks = scanned_versions(extractions)
     few = marks.limit(BROADCAST_VERSIONS + 1).count() <= BROADCAST_VERSIONS
-    rows = pages.filter(F.col("text").isNotNull() & F.col("number").isNotNull()).join(F.broadcast(marks) if few else marks, "version_id")
+    rows = pages.select("version_id", "number", "text").filter(F.col("text").isNotNull() & F.col("number").isNotNull()).join(F.broadcast(marks) if few else marks, "version_id")
     return rows.filter(F.col("certain") | F.col("text").rlike(_HARD_BREAK)).select("version_id", "number", "text")
 
 
