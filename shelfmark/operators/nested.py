@@ -130,39 +130,44 @@ def shredded(extractions: DataFrame) -> DataFrame:
     )
 
 
-def page_table(extractions: DataFrame) -> DataFrame:
+def _shredded(df: DataFrame, ready: bool) -> DataFrame:
+    """ready: df already comes from :func:`shredded` (written once, for several tables)."""
+    return df if ready else shredded(df)
+
+
+def page_table(extractions: DataFrame, ready: bool = False) -> DataFrame:
     """version_id, page, ordinal, text, preview: one distinct row per page object."""
-    return shredded(extractions).select("version_id", F.inline("pages")).drop("tables", "images").distinct()
+    return _shredded(extractions, ready).select("version_id", F.inline("pages")).drop("tables", "images").distinct()
 
 
-def table_table(extractions: DataFrame) -> DataFrame:
+def table_table(extractions: DataFrame, ready: bool = False) -> DataFrame:
     """version_id, page, table, ordinal, rows, cols, asset."""
-    return shredded(extractions).select("version_id", F.inline("tables")).drop("cells").distinct()
+    return _shredded(extractions, ready).select("version_id", F.inline("tables")).drop("cells").distinct()
 
 
-def cell_table(extractions: DataFrame) -> DataFrame:
+def cell_table(extractions: DataFrame, ready: bool = False) -> DataFrame:
     """version_id, page, table, ordinal, row, col, rowspan, colspan, text, header."""
-    return shredded(extractions).select("version_id", F.inline("cells")).distinct()
+    return _shredded(extractions, ready).select("version_id", F.inline("cells")).distinct()
 
 
-def asset_table(extractions: DataFrame) -> DataFrame:
+def asset_table(extractions: DataFrame, ready: bool = False) -> DataFrame:
     """version_id, asset, sha256, bytes, media_type, role."""
-    return shredded(extractions).select("version_id", F.inline("assets")).distinct()
+    return _shredded(extractions, ready).select("version_id", F.inline("assets")).distinct()
 
 
-def media_table(extractions: DataFrame) -> DataFrame:
+def media_table(extractions: DataFrame, ready: bool = False) -> DataFrame:
     """version_id, asset, package_part, ordinal."""
-    return shredded(extractions).select("version_id", F.inline("media")).distinct()
+    return _shredded(extractions, ready).select("version_id", F.inline("media")).distinct()
 
 
-def asset_references(extractions: DataFrame) -> DataFrame:
+def asset_references(extractions: DataFrame, ready: bool = False) -> DataFrame:
     """version_id, asset, kind (preview, image, table, media): every reference of a record to an asset."""
     one = lambda kind, x: F.struct(x.alias("asset"), F.lit(kind).alias("kind"))
     images = F.flatten(F.transform("pages", lambda p: F.transform(F.coalesce(F.from_json(F.when(p["images"].startswith("["), p["images"]), "array<string>"), F.array().cast("array<string>")), lambda x: one("image", x))))
     every = F.concat(
         F.transform("pages", lambda p: one("preview", p["preview"])), images, F.transform("tables", lambda t: one("table", t["asset"])), F.transform("media", lambda m: one("media", m["asset"]))
     )
-    return shredded(extractions).select("version_id", F.inline(every)).filter(F.coalesce("asset", F.lit("")) != "").distinct()
+    return _shredded(extractions, ready).select("version_id", F.inline(every)).filter(F.coalesce("asset", F.lit("")) != "").distinct()
 
 
 def links(extractions: DataFrame) -> DataFrame:

@@ -293,9 +293,14 @@ def nested_paths(spark: SparkSession, sf: str) -> DataFrame:
 # --- assets, tables, coverage, bundle --------------------------------------------------------------------------------
 
 
+def _shred(spark: SparkSession, sf: str) -> DataFrame:
+    """The records taken apart once, for queries that need several of their tables."""
+    return written(nested.shredded(table(spark, sf, "extractions")), "shredded")
+
+
 def asset_unresolved(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "extractions")
-    return assets.unresolved(nested.asset_references(x), nested.asset_table(x))
+    x = _shred(spark, sf)
+    return assets.unresolved(nested.asset_references(x, True), nested.asset_table(x, True))
 
 
 def asset_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,8 +312,8 @@ def asset_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unlocated_media(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "extractions")
-    return assets.unlocated_media(nested.media_table(x), nested.asset_references(x).filter("kind = 'image'"))
+    x = _shred(spark, sf)
+    return assets.unlocated_media(nested.media_table(x, True), nested.asset_references(x, True).filter("kind = 'image'"))
 
 
 def page_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -319,32 +324,34 @@ def page_coverage(spark: SparkSession, sf: str) -> DataFrame:
 _KEYS = ["version_id", "page", "table"]
 
 
-def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    c = nested.cell_table(table(spark, sf, "extractions"))
-    return c.select(*_KEYS, *[F.col(x).try_cast("int").alias(x) for x in ("row", "col", "rowspan", "colspan")], "text", "header").distinct()
+def _cells(x: DataFrame) -> DataFrame:
+    c = nested.cell_table(x, True)
+    return c.select(*_KEYS, *[F.col(k).try_cast("int").alias(k) for k in ("row", "col", "rowspan", "colspan")], "text", "header").distinct()
 
 
-def span_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.overlaps(_cells(spark, sf), _KEYS)
+def _sizes(x: DataFrame) -> DataFrame:
+    t = nested.table_table(x, True)
+    return t.groupBy(*_KEYS).agg(F.max(F.col("rows").try_cast("int")).alias("rows"), F.max(F.col("cols").try_cast("int")).alias("cols"))
 
 
-def span_reach(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.column_counts(_cells(spark, sf), _KEYS)
+def span_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.overlaps(_cells(_shred(spark, sf)), _KEYS)
 
 
-def _sizes(spark: SparkSession, sf: str) -> DataFrame:
-    t = nested.table_table(table(spark, sf, "extractions"))
-    return t.groupBy(*_KEYS).agg(F.max(F.col("rows").try_cast("int")).alias("rows"), F.max(F.col("cols").try_cast("int")).alias("cols"))
+def span_reach(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.column_counts(_cells(_shred(spark, sf)), _KEYS)
 
 
 def span_problems(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.span_problems(_cells(spark, sf), _sizes(spark, sf), _KEYS)
+    x = _shred(spark, sf)
+    return tables.span_problems(_cells(x), _sizes(x), _KEYS)
 
 
 def table_html_digest(spark: SparkSession, sf: str) -> DataFrame:
-    cells, sizes = _cells(spark, sf), _sizes(spark, sf)
+    x = _shred(spark, sf)
+    cells = written(_cells(x), "cells")
     clean = cells.join(tables.overlaps(cells, _KEYS).select(*_KEYS).distinct(), _KEYS, "left_anti")
-    return tables.table_html(clean, sizes, _KEYS).select(*_KEYS, tx.digest(F.col("html")).alias("sha256"))
+    return tables.table_html(clean, _sizes(x), _KEYS).select(*_KEYS, tx.digest(F.col("html")).alias("sha256"))
 
 
 def visible_cells(spark: SparkSession, sf: str) -> DataFrame:
