@@ -140,8 +140,8 @@ def one_form(text: str) -> str:
         text = unicodedata.normalize("NFKC", _HYPHEN.sub("-", text))
     text = _SPACES.sub(" ", _INVISIBLE.sub("", _HYPHEN.sub("-", text)))
     if _HAS_FOREIGN.search(text):
-        text = unicodedata.normalize("NFC", _FOREIGN_TOKEN.sub(lambda m: consistent_spelling(m.group()), text))
-    return text
+        text = _FOREIGN_TOKEN.sub(lambda m: consistent_spelling(m.group()), text)
+    return unicodedata.normalize("NFC", text)  # what an invisible character kept apart is composed now
 
 
 def with_one_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
