@@ -93,6 +93,11 @@ _HAS_FOREIGN = re.compile(f"[{_FOREIGN}]")
 _FOREIGN_TOKEN = re.compile(rf"[^\W_]*[{_FOREIGN}](?:[^\W_]|[\u0300-\u036f])*")
 
 
+#: Look-alikes that normalisation would turn into a letter of another look; they are spelt in Latin before.
+_EARLY = {ch: g[0] for ch, g in _GROUP.items() if unicodedata.normalize("NFKC", ch) not in (ch, g[0])}
+_HAS_EARLY = re.compile(f"[{''.join(_EARLY)}]")
+
+
 @lru_cache(maxsize=4096)
 def _spellings(ch: str) -> dict[str, str] | None:
     """Script to spelling of a letter; null for characters that belong to every script."""
@@ -133,6 +138,8 @@ def one_form(text: str) -> str:
     """The one form of all texts that look like this one."""
     if text.isascii():
         return text
+    if _HAS_EARLY.search(text):
+        text = _HAS_EARLY.sub(lambda m: _EARLY[m.group()], text)
     if _KEPT.search(text):
         text = "".join(p if _KEPT.match(p) else unicodedata.normalize("NFKC", p) for p in re.split(f"({_KEPT.pattern})", text) if p)
         text = unicodedata.normalize("NFC", text)
