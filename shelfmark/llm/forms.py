@@ -80,17 +80,23 @@ _KEPT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x33FF)
 _HYPHEN = re.compile(f"[{HYPHENS}]")
 
 
+#: Signs that are written between letters of any script.
+COMMON_LETTERS = "μ"
+
+
 def _script(ch: str) -> str | None:
+    if ch in COMMON_LETTERS:
+        return None
     return next((n for n, p in _SCRIPTS.items() if p.match(ch)), None)
 
 
 _GROUP = {ch: line.split() for line in LOOK_ALIKES.strip().splitlines() for ch in line.split()}
 
 
-#: A letter of another script that has a look-alike, and a token with one: all other tokens are in their one spelling.
-_FOREIGN = "".join(sorted(ch for ch in _GROUP if _script(ch) != "Latin"))
+#: A letter of another script, and a token with one: all other tokens are in their one spelling.
+_FOREIGN = r"\u0370-\u03bb\u03bd-\u058f"
 _HAS_FOREIGN = re.compile(f"[{_FOREIGN}]")
-_FOREIGN_TOKEN = re.compile(rf"[^\W_]*[{_FOREIGN}](?:[^\W_]|[\u0300-\u036f])*")
+_FOREIGN_TOKEN = re.compile(rf"(?:[^\W_]|[\u0300-\u036f])*[{_FOREIGN}](?:[^\W_]|[\u0300-\u036f])*")
 
 
 #: Look-alikes that normalisation would turn into a letter of another look; they are spelt in Latin before.
