@@ -22,6 +22,8 @@ from shelfmark.operators.skew import heavy_keys, lookup
 
 #: Number of partitions a table is fingerprinted by. A row's partition follows from its key alone.
 PARTITIONS = 64
+#: Tasks that write one partition at most.
+WRITERS = 16
 
 
 def with_partition(df: DataFrame, key: str, partitions: int = PARTITIONS) -> DataFrame:
@@ -82,7 +84,9 @@ def run_incremental(source: DataFrame, compute: Callable[[DataFrame], DataFrame]
     if changed or not n:
         marks = spark.createDataFrame([(p,) for p in changed], "part int").select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns], F.lit(True).alias("_mark"), "part")
         out = rows.select(*columns, F.lit(False).alias("_mark"), "part").unionByName(marks)
-        (out.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(result))
+        # A partition's rows are divided further, so that a large one is not written by one task.
+        spread = out.repartition("part", F.pmod(F.xxhash64(*columns), F.lit(WRITERS)))
+        (spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(result))
     fs, p = _fs(spark, pending)
     fs.mkdirs(_fs(spark, f"{folder}/state")[1])
     fs.rename(p, _fs(spark, f"{folder}/state/{n + 1}")[1])  # the commit: the state of this run is in force from here

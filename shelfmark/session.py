@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Own folders of local sessions without the setting, by application.
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the data folder ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,9 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-    folder = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
+    return _OWN[app]
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
