@@ -10,15 +10,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+#: Bytes of an Arrow batch that are turned into Python objects at once, about.
+SLICE_BYTES = 8_000_000
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply ``fn`` (columns as lists in, columns as lists out) to each Arrow batch of ``df``."""
     target: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (s for batch in batches for s in _slices(batch)):
             out = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -32,9 +40,7 @@ def map_batches_from(df: DataFrame, make: Callable[[], Callable[[dict[str, list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (s for batch in batches for s in _slices(batch)):
             fn = fn or make()
             out = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)

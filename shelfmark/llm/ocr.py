@@ -31,6 +31,7 @@ from pyspark.sql.types import _parse_datatype_string
 from shelfmark.llm.arrow import map_batches
 from shelfmark.llm.perceptron import AveragedPerceptron, feature_ids
 from shelfmark.llm.sample import bounded_sample
+from shelfmark.session import written
 
 ORDINARY_SHARE = 2e-5
 #: An ordinary word occurs at least so often.
@@ -40,7 +41,13 @@ TRAINING_PAGES = 3000
 TRAINING_EPOCHS = 8
 BLOCK_PAGES = 64
 #: Proposals of the editor that are tried for a word.
-PROPOSALS = 48
+PROPOSALS = 200
+#: Different words of the sample in which a misreading is seen at least to become one of the editor's operations.
+LEAST_SEEN = 3
+#: Two different words are enough if they are seen so often.
+SEEN_OFTEN = 6
+#: The same for characters put in or left out, which are easily taken for another word's form.
+LEAST_SEEN_LENGTH = 5
 #: Share of a version's pages on which bare page numbers of one shape stand at least, if they can't be read.
 RECURS = 0.4
 #: Scanned versions up to this number are broadcast to the pages, beyond it the pages are shuffled.
@@ -89,7 +96,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
 def ordinary_words(pages: DataFrame) -> dict[str, int]:
     """Word to count of the ordinary words; their number is bounded by their share."""
-    counts = word_counts(pages)
+    counts = written(word_counts(pages), "word-counts")
     with_total = counts.groupBy().agg(F.sum("n").alias("total")).first().total or 0
     return {r.word: r.n for r in counts.filter(F.col("n") >= max(ORDINARY_LEAST, with_total * ORDINARY_SHARE)).collect()}
 
@@ -122,27 +129,25 @@ class EditIndex:
 
 
 def operation(a: str, b: str) -> str | None:
-    """Name of the edit that turns part a of a misread word into part b, applied at its first character."""
+    """Name of the edit that turns part a of a misread word into part b, applied at its first character.
+
+    One character may stand for one or two, and two for one; two for two is no misreading but another word.
+    """
     if len(a) == 1 and b:
-        return f"replace:{b}"
+        return f"replace:{a}>{b}"
     if len(a) == 1:
-        return "delete"
-    if len(a) == 2 and len(b) <= 2 and b:
-        return f"merge:{b}"
+        return f"delete:{a}>"
+    if len(a) == 2 and len(b) == 1:
+        return f"merge:{a}>{b}"
     if not a and len(b) == 1:
-        return f"insert:{b}"
+        return f"insert:>{b}"
     return None
 
 
 def apply_operation(word: str, i: int, op: str) -> str:
-    kind, _, arg = op.partition(":")
-    if kind == "replace":
-        return word[:i] + arg + word[i + 1 :]
-    if kind == "merge":
-        return word[:i] + arg + word[i + 2 :]
-    if kind == "insert":
-        return word[:i] + arg + word[i:]
-    return word[:i] + word[i + 1 :]
+    """The word after the operation; unchanged where it does not apply."""
+    a, _, b = op.partition(":")[2].partition(">")
+    return word[:i] + b + word[i + len(a) :] if word.startswith(a, i) else word
 
 
 def character_features(word: str) -> list[list[int]]:
@@ -155,32 +160,47 @@ def character_features(word: str) -> list[list[int]]:
     return out
 
 
-def training_pairs(pages: list[str], words: dict[str, int]) -> list[tuple[str, str]]:
-    """(misread, ordinary) for words of the sample to which exactly one ordinary word is near."""
+def training_pairs(pages: list[str], words: dict[str, int]) -> list[tuple[str, str, int]]:
+    """(misread, ordinary, times seen) for words of the sample to which exactly one ordinary word is near."""
     index, seen = EditIndex(words), Counter()
     for text in pages:
+        broken = False
         for line in text.split("\n"):
-            for token in _PAREN.sub(" ", line).split():
+            tokens = _PAREN.sub(" ", line).split()[broken:]  # what continues a broken word is no word
+            broken = line.rstrip()[-1:] in tuple(MARKS)
+            if line.isupper():
+                continue  # a heading
+            for token in tokens:
                 t = token.strip(_STRIP).casefold()
                 if len(t) >= 4 and t not in words and t[-1] not in MARKS and not t.isdigit():
                     seen[t] += 1
     near = {t: sorted(index.near(t)) for t in seen}
-    pairs = [(t, n[0]) for t, n in near.items() if len(n) == 1]
+    pairs = [(t, n[0], seen[t]) for t, n in near.items() if len(n) == 1]
     # Words with several ordinary words near take the one whose edit, in whole, is most usual among the others.
-    usual = Counter(e[1:] for w, o in pairs if (e := one_edit(w, o)))
+    usual = Counter(e[1:] for w, o, _ in pairs if (e := one_edit(w, o)))
     for t, n in near.items():
         if len(n) > 1:
             ranked = sorted(((usual[e[1:]], o) for o in n if (e := one_edit(t, o))), reverse=True)
-            if ranked and ranked[0][0] >= 5:
-                pairs.append((t, ranked[0][1]))
+            if ranked and ranked[0][0] >= LEAST_SEEN:
+                pairs.append((t, ranked[0][1], seen[t]))
     return pairs
 
 
-def train_editor(pairs: list[tuple[str, str]], words: dict[str, int]) -> AveragedPerceptron:
+def train_editor(pairs: list[tuple[str, str, int]], words: dict[str, int]) -> AveragedPerceptron:
     """The editor from labelled pairs and from ordinary words, which are all kept."""
-    edits = [(w, e) for w, o in pairs if (e := one_edit(w, o)) and operation(e[1], e[2])]
-    often = Counter(operation(e[1], e[2]) for _, e in edits)
-    classes = ["keep", *sorted(op for op, n in often.items() if n >= 2)]
+    edits = [(w, e) for w, o, _ in pairs if (e := one_edit(w, o)) and operation(e[1], e[2])]
+    kinds, times = Counter(), Counter()
+    for w, o, n in pairs:
+        if (e := one_edit(w, o)) and (op := operation(e[1], e[2])):
+            kinds[op] += 1
+            times[op] += n
+
+    def usual(op: str) -> bool:
+        if op.startswith(("insert", "delete")):
+            return kinds[op] >= LEAST_SEEN_LENGTH
+        return kinds[op] >= LEAST_SEEN or kinds[op] == 2 and times[op] >= SEEN_OFTEN
+
+    classes = ["keep", *sorted(filter(usual, kinds))]
     at = {c: i for i, c in enumerate(classes)}
     examples = []
     for w, (i, a, b) in edits:
@@ -231,7 +251,7 @@ class Editor:
 
     def _first(self, word: str, moves: list[tuple[int, str]]) -> tuple[str, int] | None:
         for i, op in moves:
-            if (w := apply_operation(word, i, op)) in self.words and w != word:
+            if (w := apply_operation(word, i, op)) != word and w in self.words:
                 return w, i
         for n, (i, op) in enumerate(moves[:6]):
             for j, op2 in moves[:6][n + 1 :]:
@@ -526,16 +546,16 @@ def train(pages: DataFrame, scanned: DataFrame, words: dict[str, int]) -> tuple[
     own = scanned.filter("number between 1 and 20").groupBy("version_id").agg(F.count("*").alias("n"))
     share = bounded_sample(own, ["version_id"], TRAINING_PAGES // 5)
     rows = scanned.filter(F.col("version_id").isin([r.version_id for r in share])).filter("number between 1 and 20").orderBy("version_id", "number").limit(TRAINING_PAGES).collect()
-    editor = train_editor(training_pairs([r.text for r in rows], words), words)
     versions: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
     for r in rows:
         versions[r.version_id].append((r.number, r.text.split("\n")))
-    plain = Repairer(words, editor, None)
-    examples = []
+    plain = Repairer(words, AveragedPerceptron(["keep"]), None)
+    examples, texts = [], []
     for own in versions.values():
+        running = plain.running_lines(own)
+        texts += ["\n".join(x for i, x in enumerate(lines) if (n, i) not in running) for n, (_, lines) in enumerate(own)]
         if len(own) < 4:
             continue
-        running = plain.running_lines(own)
         for n, (_, lines) in enumerate(own):
             where = [i for i, x in enumerate(lines) if x.strip()]
             width = max(map(len, lines))
@@ -545,6 +565,7 @@ def train(pages: DataFrame, scanned: DataFrame, words: dict[str, int]) -> tuple[
                         examples += [(position_features(lines[i], r, x, width, words), 1) for x in ("top", "bottom") for r in (0, 1)]
             for i in where[3:-3]:
                 examples.append((position_features(lines[i], i % 2, ("top", "bottom")[i // 2 % 2], width, words), 0))
+    editor = train_editor(training_pairs(texts, words), words)
     both = {y for _, y in examples}
     return editor, AveragedPerceptron(["text", "furniture"]).train(examples, 4) if len(both) == 2 else None
 
@@ -567,8 +588,6 @@ def _in_blocks(scanned: DataFrame) -> DataFrame:
 
 
 def _over_versions(pages: DataFrame, extractions: DataFrame, schema: str, rows_of) -> DataFrame:
-    from shelfmark.session import written
-
     scanned = written(scanned_pages(pages, extractions), "scanned")
     words = ordinary_words(pages)
     editor, furniture = train(pages, scanned, words)

@@ -43,6 +43,8 @@ QUOTA = 4
 LEAST_QUOTA = 2
 #: Tokens that one shard packs, about; a shard is held in one task's memory as small integers.
 SHARD_TOKENS = 8_000_000
+#: Tasks of one packing at most; beyond that a task packs several shards, one after another.
+MAX_TASKS = 10_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -179,7 +181,7 @@ def pack(counts: DataFrame, containers: DataFrame) -> DataFrame:
             if rows:
                 yield done()
 
-        one = spread.repartition(int(shards), "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+        one = spread.repartition(int(min(shards, MAX_TASKS)), "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], f"container_class string, container_id string, doc_id {fields}, part int, tokens long")
 
