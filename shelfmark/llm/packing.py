@@ -4,10 +4,11 @@ Method: conflict-constrained best-fit. Open containers are ordered by what is le
 duplicate clusters inside; a successor search goes from the tightest container that has room to the next looser one until a
 compatible one is found. Texts are placed in decreasing size.
 
-Conflicts: two texts of one duplicate cluster (equal texts) never share a container. Texts of one source share one only up to
+Conflicts: two texts of one duplicate cluster (equal texts) share no container, as long as the copies are at most half as many as the
+containers the tokens need; beyond that a container holds up to twice the average of them, so that copies of a third of all rows do
+not force empty space either. Texts of one source share one only up to
 the source's quota: ``QUOTA`` times what its share of all texts makes of a container's texts on average, at least ``LEAST_QUOTA``; so a
-source with a third of all rows does not force empty space. Where equal texts are more than the containers otherwise needed, that rule
-opens as many containers as there are copies.
+source with a third of all rows does not force empty space.
 
 Only a text longer than the capacity is divided, into full parts and a rest; full parts fill a container each.
 
@@ -73,20 +74,21 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 class Container:
-    """An open container: what is left, and bitmaps of its sources and clusters."""
+    """An open container: what is left, and bitmaps of the sources and clusters that it holds as often as allowed."""
 
-    __slots__ = ("number", "left", "sources", "full_sources", "clusters", "count")
+    __slots__ = ("number", "left", "full_sources", "full_clusters", "count")
 
     def __init__(self, number: int, capacity: int) -> None:
         self.number, self.left = number, capacity
-        self.sources = self.full_sources = self.clusters = 0
-        self.count: dict[int, int] = {}
+        self.full_sources = self.full_clusters = 0  # bitmaps of what may not be added
+        self.count: dict[tuple[str, int], int] = {}
 
 
-def best_fit(items: list[tuple[int, int, int]], capacity: int, quota: list[int]) -> list[int]:
+def best_fit(items: list[tuple[int, int, int]], capacity: int, quota: list[int], cluster_quota: dict[int, int] | None = None) -> list[int]:
     """Container number of each item (tokens, source number, cluster number); items in placing order.
 
-    Tokens are at least 1 and at most the capacity. quota: by source number, the texts of it a container may hold.
+    Tokens are at least 1 and at most the capacity; cluster -1 is none. quota: by source number, the texts of it a container may
+    hold; cluster_quota: the same by cluster number where it is more than one.
     """
     order: list[tuple[int, int]] = []  # (left, number) of open containers, sorted
     boxes: list[Container] = []
@@ -96,7 +98,7 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, quota: list[int])
         i = bisect_left(order, (tokens, -1))
         while i < len(order):  # successor search: the next looser one, until one has no conflict
             box = boxes[order[i][1]]
-            if not box.full_sources & s and not box.clusters & c:
+            if not box.full_sources & s and not box.full_clusters & c:
                 del order[i]
                 break
             i += 1
@@ -104,11 +106,13 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, quota: list[int])
             box = Container(len(boxes), capacity)
             boxes.append(box)
         box.left -= tokens
-        box.sources |= s
-        box.clusters |= c
-        n = box.count[source] = box.count.get(source, 0) + 1
+        n = box.count["s", source] = box.count.get(("s", source), 0) + 1
         if n >= quota[source]:
             box.full_sources |= s
+        if c:
+            n = box.count["c", cluster] = box.count.get(("c", cluster), 0) + 1
+            if n >= (cluster_quota or {}).get(cluster, 1):
+                box.full_clusters |= c
         if box.left:
             insort(order, (box.left, box.number))
         out.append(box.number)
@@ -124,6 +128,8 @@ def pack_shard(rows: list[tuple], capacity: int, quota_of: dict[str, int]) -> li
     for r in rows:
         copies[r[2]] = copies.get(r[2], 0) + 1
     clusters = {c: i for i, c in enumerate(sorted(c for c, n in copies.items() if n > 1))}  # single texts need no bit
+    needed = -(-sum(r[3] for r in rows) // capacity)
+    often = {clusters[c]: -(-2 * n // needed) for c, n in copies.items() if 2 * n > needed and n > 1}
     full, items, what = [], [], []
     for doc, source, cluster, tokens in rows:
         parts = -(-tokens // capacity)
@@ -135,7 +141,7 @@ def pack_shard(rows: list[tuple], capacity: int, quota_of: dict[str, int]) -> li
                 items.append((n, sources[source], clusters.get(cluster, -1)))
                 what.append((doc, p + 1, n))
     order = sorted(range(len(items)), key=lambda i: (-items[i][0], i))
-    places = best_fit([items[i] for i in order], capacity, quota)
+    places = best_fit([items[i] for i in order], capacity, quota, often)
     first = max(places, default=-1) + 1
     return [(*what[i], place) for i, place in zip(order, places, strict=True)] + [(*f, first + k) for k, f in enumerate(full)]
 
