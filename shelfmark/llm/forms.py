@@ -144,6 +144,12 @@ def one_form(text: str) -> str:
     """The one form of all texts that look like this one."""
     if text.isascii():
         return text
+    if not _UNUSUAL.search(text):
+        return text.replace("µ", "μ")
+    return _full_form(text)
+
+
+def _full_form(text: str) -> str:
     if _HAS_EARLY.search(text):
         text = _HAS_EARLY.sub(lambda m: _EARLY[m.group()], text)
     if _KEPT.search(text):
@@ -157,6 +163,10 @@ def one_form(text: str) -> str:
     return unicodedata.normalize("NFC", text)  # what an invisible character kept apart is composed now
 
 
+#: A character that may need more than the micro sign does: all but the Latin letters and signs that are their own form, and ideographs.
+_UNUSUAL = re.compile("[^\x00-\x7fµ" + "".join(re.escape(chr(c)) for c in range(0xA1, 0x180) if _full_form(chr(c)) == chr(c)) + "\u4e00-\u9fff]")
+
+
 def with_one_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
     """Adds ``out`` (in place of a column of that name), the one form of ``text``. ASCII texts do not go through Python."""
     df = df.drop(out)
