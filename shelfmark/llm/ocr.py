@@ -357,11 +357,39 @@ def position_features(line: str, rank: int, side: str, width: int, words: dict[s
     ])
 
 
+def join_features(left: str, right: str, mark: str, words: dict[str, int]) -> list[int]:
+    """Features of a break between two parts of a word; whether the joined word is known is not among them."""
+    return feature_ids([
+        "bias", f"mark{mark}", f"left{left in words}", f"right{right in words}", f"both{left in words and right in words}", f"long{min(len(left), 6)}", f"rest{min(len(right), 6)}",
+        f"end{left[-2:]}", f"start{right[:2]}", f"seam{left[-1:]}{right[:1]}", f"whole{left}", f"tail{right}",
+    ])
+
+
+def breaks_of(lines: list[str]) -> Iterator[tuple[str, str, str]]:
+    """(left part, right part, mark) of the breaks between text lines that follow each other."""
+    for a, b in zip(lines, lines[1:], strict=False):
+        if m := _TAIL.search(a.rstrip()):
+            head = _HEAD.match(b.lstrip()).group().strip(_STRIP).casefold()
+            if head[:1].isalpha():
+                yield m.group(1).strip(_STRIP).casefold(), head, a.rstrip()[-1]
+
+
+def train_joins(texts: list[str], words: dict[str, int]) -> AveragedPerceptron | None:
+    """Whether a break is joined or its mark belongs to the word; learned from breaks that the ordinary words decide."""
+    examples = []
+    for text in texts:
+        for left, right, mark in breaks_of([x for x in text.split("\n") if x.strip()]):
+            joined, own = words.get(left + right, 0), words.get(f"{left}-{right}", 0)
+            if joined or own:
+                examples.append((join_features(left, right, mark, words), int(joined < own)))
+    return AveragedPerceptron(["join", "own"]).train(examples, 4) if {y for _, y in examples} == {0, 1} else None
+
+
 class Repairer:
     """Finds and repairs the defects of scanned versions."""
 
-    def __init__(self, words: dict[str, int], editor: AveragedPerceptron, furniture: AveragedPerceptron | None) -> None:
-        self.words, self.editor, self.furniture = words, Editor(editor, words), furniture
+    def __init__(self, words: dict[str, int], editor: AveragedPerceptron, furniture: AveragedPerceptron | None, joins: AveragedPerceptron | None = None) -> None:
+        self.words, self.editor, self.furniture, self.joins = words, Editor(editor, words), furniture, joins
 
     def running_lines(self, pages: list[tuple[int, list[str]]]) -> dict[tuple[int, int], str]:
         """(page, line from 0) to header or page_no."""
@@ -422,6 +450,11 @@ class Repairer:
         features = position_features(lines[i], rank, side, max(map(len, lines)), self.words)
         return bool(self.furniture.scores(np.array([features]))[0].argmax())
 
+    def _keeps_mark(self, left: str, right: str, mark: str) -> bool:
+        if self.joins is None:
+            return left in self.words and right in self.words and min(len(left), len(right)) > 3
+        return bool(self.joins.scores(np.array([join_features(left, right, mark, self.words)]))[0].argmax())
+
     def _tokens(self, line: str, inside: str) -> tuple[list[tuple[int, str]], str]:
         """(place, word) of the line's words outside of brackets, and the bracket open at its end."""
         if inside:
@@ -500,8 +533,8 @@ class Repairer:
                 if result:
                     at_left = result[1] < len(a) or own and result[1] == len(a)
                     hits.add((k if at_left else k + 1, "char"))
-                elif mark == "-" and (a in self.words and b in self.words and len(a) > 3 and len(b) > 3):
-                    own = True
+                elif mark in "-‐":  # neither word is known: the join operation decides
+                    own = self._keeps_mark(a, b, mark)
             if not own and not (head[:1].isupper() and not left.isupper()):
                 hits.add((k, "hyphen"))
             text = result[0] if result else (hyphened if own else joined)
@@ -541,8 +574,8 @@ def _recased(token: str, t: str, word: str) -> str:
     return token.replace(core, new, 1) if core else word
 
 
-def train(pages: DataFrame, scanned: DataFrame, words: dict[str, int]) -> tuple[AveragedPerceptron, AveragedPerceptron | None]:
-    """The character editor and the furniture model, from a bounded sample of scanned pages."""
+def train(pages: DataFrame, scanned: DataFrame, words: dict[str, int]) -> tuple[AveragedPerceptron, AveragedPerceptron | None, AveragedPerceptron | None]:
+    """The character editor, the furniture model and the join model, from a bounded sample of scanned pages."""
     own = scanned.filter("number between 1 and 20").groupBy("version_id").agg(F.count("*").alias("n"))
     share = bounded_sample(own, ["version_id"], TRAINING_PAGES // 5)
     rows = scanned.filter(F.col("version_id").isin([r.version_id for r in share])).filter("number between 1 and 20").orderBy("version_id", "number").limit(TRAINING_PAGES).collect()
@@ -567,7 +600,8 @@ def train(pages: DataFrame, scanned: DataFrame, words: dict[str, int]) -> tuple[
                 examples.append((position_features(lines[i], i % 2, ("top", "bottom")[i // 2 % 2], width, words), 0))
     editor = train_editor(training_pairs(texts, words), words)
     both = {y for _, y in examples}
-    return editor, AveragedPerceptron(["text", "furniture"]).train(examples, 4) if len(both) == 2 else None
+    furniture = AveragedPerceptron(["text", "furniture"]).train(examples, 4) if len(both) == 2 else None
+    return editor, furniture, train_joins(texts, words)
 
 
 def scanned_pages(pages: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -590,8 +624,8 @@ def _in_blocks(scanned: DataFrame) -> DataFrame:
 def _over_versions(pages: DataFrame, extractions: DataFrame, schema: str, rows_of) -> DataFrame:
     scanned = written(scanned_pages(pages, extractions), "scanned")
     words = ordinary_words(pages)
-    editor, furniture = train(pages, scanned, words)
-    shared = pages.sparkSession.sparkContext.broadcast((words, editor.packed(), furniture.packed() if furniture else None))
+    models = train(pages, scanned, words)
+    shared = pages.sparkSession.sparkContext.broadcast((words, [m.packed() if m else None for m in models]))
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -606,8 +640,8 @@ def _over_versions(pages: DataFrame, extractions: DataFrame, schema: str, rows_o
         out: list[tuple] = []
         for batch in batches:
             if repairer is None:
-                w, e, f = shared.value
-                repairer = Repairer(w, AveragedPerceptron.unpacked(e), AveragedPerceptron.unpacked(f) if f else None)
+                w, packed = shared.value
+                repairer = Repairer(w, *[AveragedPerceptron.unpacked(m) if m else None for m in packed])
             for version, block, number, text in zip(*(batch.column(c).to_pylist() for c in ("version_id", "block", "number", "text")), strict=True):
                 if (version, block) != key:
                     if key:
