@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.arrow import map_batches
 
-#: Texts up to so many characters are always looked at as possible error pages (those are short).
-SHORT_TEXT = 700
 #: Share of a text's letters in error, notice and navigation sentences from which the text is a page of that kind.
 PAGE_SHARE = 0.5
 #: A line up to so many characters without end of sentence is a heading, not content of an error page.
@@ -98,10 +96,27 @@ _NAVIGATION = re.compile(
 )
 
 #: Parts of words of which every error or notice sentence has one.
-_STEM = re.compile(
-    r"(?i)error|skript|erreur|erro\b|fehler|found|gateway|denied|permission|sign(?:ed)? ?in|log ?in|wrong|notified|unavailable|answer in time|try again|moved or|page|script|\bjs\b|gefunden|verweigert|melden|sitzung|dienst|introuvable|refus|expir|connecter|indispon|réessay|página|denegado|sesión|servicio|intént|mal\b|negado|sessão|serviço|tente|errado|"
-    r"找不到|頁面|存取|登入|伺服器|服務|稍後|逾時|過期|指令碼|腳本"
+_STEMS = (
+    r"erro|erreur|fehler|found|gateway|forbidden|unauthori[sz]ed|gone\b|bad request|many requests|page|this server|moved or|(?:requested|this) (?:url|resource)\b|denied|permission|(?:sign|log) ?(?:in|on)\b|expired|timed out|went wrong"
+    r"|been notified|unavailable|answer in time|try again|gefunden|versuchen sie es|verweigert|melden sie|sitzung|verfügbar|introuvable|refusé|expiré|connecter|indispon|réessay|página|denegado|sesión|servicio|inténtelo|salió mal"
+    r"|negado|sessão|mais tarde|deu errado|java ?script|\bjs\b|\bscript|\bskript|找不到|頁面|存取|登入|伺服器|服務|稍後|逾時|過期|指令碼|腳本"
 )
+_STEM = re.compile(f"(?i){_STEMS}")
+
+
+def _java(pattern: str) -> str:
+    """A Java expression that finds something in each text, read raw, in whose normal form the Python pattern does.
+
+    Only for texts without ODD characters; what restricts the pattern (beginning of a sentence, what must not follow) is left out.
+    """
+    return "(?iud)" + re.sub(r"\(\?!\\W.*?\)\)", "", pattern.removeprefix("(?i)").replace(r"^\W*", "")).replace(" ", "[ \u00a0]")
+
+
+#: Java regular expression: characters but those that normalisation keeps, or changes in a way that the native expressions allow for
+#: (no-break space, micro sign, dots, full-width punctuation). A text with one is looked at in Python, which normalises it.
+ODD = "[^\\x00-\\x7F\u00a0«°µ·»À-ÿŒœ–—‘’“”„•…、。「」《》！（），：；？一-鿿]"
+#: Java regular expressions of which every error page meets both; the first is the faster one.
+ERROR_PREFILTERS = (_java(_STEMS), f"{_java(_ERROR.pattern)}|{_java(_SCRIPT.pattern)}")
 
 #: Java regular expressions, of which every placeholder or filler case meets one. Apart they run faster than as one.
 PREFILTERS = (
@@ -160,7 +175,7 @@ def is_error_page(text: str) -> bool:
     plain = _TAG.sub("\n", re.sub(r"(?is)<title>.*?</title>|<(script|style)\b.*?</\1\s*>", "\n", text)) if "<" in text else text
     kept = total = 0
     for s in _SENTENCE.split(plain):
-        if _ERROR.search(s) or _SCRIPT.search(s):
+        if _STEM.search(s) and (_ERROR.search(s) or _SCRIPT.search(s)):
             kept += _letters(s)
             total += _letters(s)
         elif not (_NAVIGATION.match(s) or len(s) <= HEADING and s[-1:] not in ".!?。！？"):
@@ -178,16 +193,18 @@ def residue_kind(text: str | None) -> str | None:
         return "placeholder"
     if any(is_filler(p) for p in _PARAGRAPH.split(text) if p.strip()):
         return "filler"
-    if (len(text) <= SHORT_TEXT or "<html" in text) and is_error_page(text):
+    if is_error_page(text):
         return "error_page"
     return None
 
 
 def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, kind of each row whose text is residue instead of content."""
-    wanted = F.length(text) <= SHORT_TEXT
+    wanted = F.col(text).rlike(ODD)
     for p in PREFILTERS:
         wanted = wanted | F.col(text).rlike(p)
+    stem, sentence = ERROR_PREFILTERS
+    wanted = wanted | F.col(text).rlike(stem) & F.col(text).rlike(sentence)
     possible = documents.select(key, text).filter(wanted)
 
     def judge(cols: dict[str, list]) -> dict[str, list]:

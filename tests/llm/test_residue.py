@@ -1,3 +1,9 @@
+import random
+import re
+import unicodedata
+from re import _constants as C
+from re import _parser
+
 import pytest
 
 from shelfmark.llm import residue as R
@@ -26,3 +32,63 @@ def test_operator_equals_rule_on_whole_table(spark, data):
     want = {(r.doc_id, k) for r in docs.collect() if (k := R.residue_kind(r.text))}
     assert {(r.doc_id, r.kind) for r in R.find_residue(docs).collect()} == want and want
     assert R.find_residue(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Home | Search | Imprint\n" * 60 + "404 Not Found\nThe requested page /x could not be located on this server.", "Please sign on again. Your session has timed out. " * 40,
+        "<HTML><BODY>" + "<p>Zugriff verweigert. Bitte melden Sie sich erneut an.</p>" * 20, "410 Gone\n403 Forbidden\n", "Catalogue\n" * 90 + "Bitte versuchen Sie es später.",
+    ],
+)
+def test_error_pages_of_any_length(spark, text):
+    assert R.residue_kind(text) == "error_page"
+    assert R.find_residue(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1
+
+
+def a_match(pattern: str, rng: random.Random) -> str:
+    """A text that the pattern finds, its branches chosen by chance; what looks around is left out."""
+
+    def one_of(items):
+        kind, value = rng.choice(items)
+        if kind is C.RANGE:
+            return chr(rng.randint(*value))
+        if kind is C.LITERAL:
+            return chr(value)
+        return {C.CATEGORY_DIGIT: "7", C.CATEGORY_WORD: "k", C.CATEGORY_SPACE: " ", C.CATEGORY_NOT_WORD: "-", C.CATEGORY_NOT_DIGIT: "k", C.CATEGORY_NOT_SPACE: "k"}[value]
+
+    def write(tree):
+        out = ""
+        for op, arg in tree:
+            if op is C.LITERAL:
+                out += chr(arg)
+            elif op is C.IN:
+                out += rng.choice("kK ") if arg[0][0] is C.NEGATE else one_of(arg)
+            elif op is C.ANY:
+                out += rng.choice("k -")
+            elif op is C.BRANCH:
+                out += write(rng.choice(arg[1]))
+            elif op is C.SUBPATTERN:
+                out += write(arg[3])
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                out += "".join(write(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        return out
+
+    return write(_parser.parse(pattern))
+
+
+def test_error_prefilters_hold_for_every_error_sentence(spark):
+    rng = random.Random(1)
+    some = [x for pattern, n in ((R._ERROR, 6000), (R._SCRIPT, 1500)) for x in (a_match(pattern.pattern, rng) for _ in range(n)) if pattern.search(x)]
+    some += [x.upper() for x in some if R._ERROR.search(x.upper())] + [x.replace(" ", "\u00a0") for x in some]
+    assert len(some) > 10_000 and [x for x in some if not R._STEM.search(unicodedata.normalize("NFKC", x))] == []
+    stem, sentence = R.ERROR_PREFILTERS
+    met = R.F.col("text").rlike(R.ODD) | R.F.col("text").rlike(stem) & R.F.col("text").rlike(sentence)
+    assert [r.text for r in spark.createDataFrame([(RUNNING * 2 + x,) for x in some], "text string").filter(~met).collect()] == []
+
+
+def test_normalisation_changes_no_other_character_than_allowed_for():
+    kept = [c for c in map(chr, range(0x110000)) if not re.match(R.ODD, c)]
+    changed = {c: n for c in kept if (n := unicodedata.normalize("NFKC", c)) != c}
+    assert changed == {"\u00a0": " ", "µ": "μ", "…": "...", "！": "!", "（": "(", "）": ")", "，": ",", "：": ":", "；": ";", "？": "?"}
+    assert not any(map(unicodedata.combining, kept))
