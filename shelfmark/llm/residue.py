@@ -4,7 +4,7 @@ Method: unfilled placeholders are found by delimiter-specific grammars and regul
 text that speaks about placeholders are discounted through surrounding context and density. Filler is judged by
 paragraph, error pages and script notices by the share of the text that such sentences make up.
 
-A native regular expression, a necessary condition of every rule, keeps ordinary texts out of Python.
+Native regular expressions, of which every case meets one, keep ordinary texts out of Python.
 
 Defined results: null and blank texts are no case. A text is judged whole, whatever its length. Rows are independent of
 each other, so repeated rows repeat their result.
@@ -118,14 +118,47 @@ ODD = "[^\\x00-\\x7F\u00a0«°µ·»À-ÿŒœ–—‘’“”„•…、。
 #: Java regular expressions of which every error page meets both; the first is the faster one.
 ERROR_PREFILTERS = (_java(_STEMS), f"{_java(_ERROR.pattern)}|{_java(_SCRIPT.pattern)}")
 
-#: Java regular expressions, of which every placeholder or filler case meets one. Apart they run faster than as one.
+def _initials(words: frozenset[str]) -> str:
+    """An expression of the words, by first letter."""
+    first = sorted({w[0] for w in words})
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in words if w[0] == c), reverse=True))})" for c in first) + ")"
+
+
+def _three_of_four(word: str) -> str:
+    """Three of four words that follow each other; what is in seven of ten of five or more words has that somewhere."""
+    w, gap = rf"{word}(?!\p{{L}})", r"[^\p{L}]++"
+    return rf"(?i)(?<!\p{{L}}){w}{gap}(?:{w}{gap}(?:\p{{L}}++{gap})?{w}|\p{{L}}++{gap}{w}{gap}{w})"
+
+
+def _few_words() -> str:
+    """At most three different words among the first six of a line, or among all four or five of it."""
+    gap, groups = r"[^\p{L}\n]++", 0
+
+    def after(n: int, own: list[int]) -> str:
+        nonlocal groups
+        if n == 6:
+            return ""
+        again = rf"(?:{'|'.join(f'\\{g}' for g in own)})(?!\p{{L}})" + after(n + 1, own) if own else ""
+        new = ""
+        if len(own) < 3:
+            groups += 1
+            new = r"([a-z]++)(?!\p{L})" + after(n + 1, [*own, groups])
+        more = (gap if n else "") + (f"(?:{again}|{new})" if again and new else again or new)
+        return rf"(?:[^\p{{L}}\n]*+(?:\n|\z)|[^\p{{L}}\n]*?[.!?。！？]|{more})" if n >= 4 else more
+
+    return r"(?im)^[^\p{L}\n]*+" + after(0, [])
+
+
+#: Java regular expressions, of which every placeholder or filler case without ODD characters meets one. Apart they run faster than as one.
 PREFILTERS = (
-    r"[{}$%_@#<>«»【（]|\[\D|\([\p{Ll}\p{Lo}]",
-    r"(?i:\b(?:lorem|ipsum|adipiscing|consectetur|eiusmod|incididunt|dolore|asdf|qwer|x{3,}|placeholder|blindtext|beispieltext|mustertext|platzhalter\w*)\b)",
-    r"(?i:\b(\p{L}++) \1 \1\b)",
-    # The first sentence of a paragraph of stock filler stands at the beginning of a line.
-    r"(?im:^[^\p{L}\n]{0,5}(?:your|sample|dummy|example|placeholder|body|replace|delete|overwrite|type|write|enter|add|put|insert|content|text|description|beispieltext|blindtext|platzhalter|mustertext|hier|ihre?n?|ersetzen|votre|exemple|texte|remplacez|su|texto|sustituya|reemplace|seu|substitua)\b)",
-    r"(?m)^[^\p{L}\n]{0,5}(?:此處|這裡|请|請|範例|示範|佔位)",
+    r"\{[{%]|\$\{|<[%<]|%[A-Z]|__[A-Z]|\[\[|@@|#[a-z]|«",
+    rf"(?iu)[\[<(【（][^\[\]<>()【】（）\n]{{0,60}}?(?:{FILL_WORDS})".replace(" ", "[  ]"),
+    _three_of_four(_initials(LATIN_FILLER)),
+    # A paragraph begins with a line, and each of its sentences is noise or stock filler, so also the first one.
+    _few_words(),
+    r"(?im)^[^\p{L}\n]*+(?:([a-z])\1*+(?!\p{L})[^\p{L}\n]++){3}([a-z])\2*+(?!\p{L})",
+    r"(?im)^[^\p{L}\n]*+(?:votre|(?:your|sample|dummy|example|placeholder|body|replace|delete|overwrite|type|write|enter|add|put|insert|content|text|description|beispieltext|blindtext|platzhalter(?:text)?|mustertext|hier|ihren?|ersetzen|exemple|texte|remplacez|su|texto|sustituya|reemplace|seu|substitua)\b)",
+    r"(?m)^[^\p{L}\n]*+(?:此處|這裡|请|請|範例|示範|佔位)",
 )
 
 

@@ -92,3 +92,21 @@ def test_normalisation_changes_no_other_character_than_allowed_for():
     changed = {c: n for c in kept if (n := unicodedata.normalize("NFKC", c)) != c}
     assert changed == {"\u00a0": " ", "µ": "μ", "…": "...", "！": "!", "（": "(", "）": ")", "，": ",", "：": ":", "；": ";", "？": "?"}
     assert not any(map(unicodedata.combining, kept))
+
+
+def test_prefilters_hold_for_every_placeholder_and_filler(spark):
+    rng = random.Random(2)
+    latin = sorted(R.LATIN_FILLER)
+    noise = [[rng.choice("abcdefg") * rng.randint(1, 4) for _ in range(4)] for _ in range(300)] + [[rng.choice(some) for _ in range(rng.randint(4, 9))] for some in [["asdf", "Qwer", "zxcv"], ["test", "bla"]] for _ in range(300)]
+    mixed = [[rng.choice(latin if rng.random() < 0.75 else ["tray", "valve", "Wärme"]) for _ in range(rng.randint(5, 25))] for _ in range(1000)]
+    some = [rng.choice(["\n\n", "\n\n  - 1. ", "\n \n\u00a0"]) + rng.choice([" ", ", ", " 3-"]).join(w) + rng.choice(["", ".", "!\n", " …"]) for w in noise + mixed]
+    some += ["\n\n" + a_match(R._STOCK_FILLER.pattern, rng) for _ in range(2000)]
+    some += ["\n" + a_match(R._PLACEHOLDER.pattern, rng) for _ in range(1000)]
+    some += ["\n" + a + rng.choice(["", "bitte ", "x_"]) + rng.choice([w, w.upper(), w.capitalize()]).replace(" ", rng.choice([" ", "\u00a0"])) + rng.choice(["", ": x"]) + z for w in R.FILL_WORDS.split("|") for a, z in ("[]", "()", "（）", "【】", "<>", "［］", "｛｛｝｝"[::2], "＜＞")]
+    some += ["\nApproved by: (TBD)", "\n(Datum eintragen)", "\n｛｛owner｝｝", "\n\nUt enim ad minim veniam, quis nostrud", "\n\nExcepteur sint occaecat cupidatat non", "\n\naaaa bbbb cccc dddd"]
+    some = [x for x in some if R.residue_kind(RUNNING + x) in ("placeholder", "filler")]
+    assert len(some) > 2500
+    wanted = R.F.col("text").rlike(R.ODD)
+    for p in R.PREFILTERS:
+        wanted = wanted | R.F.col("text").rlike(p)
+    assert [r.text for r in spark.createDataFrame([(RUNNING + x,) for x in some], "text string").filter(~wanted).collect()] == []
