@@ -429,9 +429,12 @@ class Repairer:
                     groups.append((c[2], [c]))
             for _, members in groups:
                 if len({m[0] for m in members}) >= 2:
-                    exact = Counter(m[2] for m in members)
+                    exact = Counter(own for _, own in {(m[0], m[2]) for m in members})  # pages of each
                     for n, i, own, rank in members:
-                        if _looks_like_heading(pages[n][1][i]) and (exact[own] >= 2 or self._is_furniture(pages[n][1], i, rank, side)):
+                        heading = _looks_like_heading(_EDGE_NUMBER.sub("", pages[n][1][i].strip()))
+                        # Running text may recur word by word on two pages; a line that does not look like a heading needs more than that.
+                        often = exact[own] >= max(3, RECURS * full) or exact[own] >= 2 and (heading or self.furniture is not None and self._is_furniture(pages[n][1], i, rank, side))
+                        if often or heading and self._is_furniture(pages[n][1], i, rank, side):
                             running[n, i] = side
         out = {}
         for (n, _side), order in edges.items():  # furniture is what reaches from the edge without a text line between

@@ -113,6 +113,17 @@ def test_headings_that_do_not_recur_stay(words, editor):
     assert r.version(pages)[0] == []
 
 
+def test_headers_that_do_not_look_like_headings(words, editor):
+    r = O.Repairer(words, editor, None)
+
+    def headers(lines):
+        return {d[:2] for d in r.version([(n, f"{x}\n{SENTENCES[n - 1]}\n{SENTENCES[(n + 2) % 6]}") for n, x in enumerate(lines, 1)])[0] if d[2] == "header"}
+
+    assert headers([f"{x}    Tadore Calibrator change notice" for x in ("l7", "18", "l9", "20")]) == {(n, 1) for n in range(1, 5)}
+    assert headers(["Gome Inc. Quality manual, part b.", "Gome Labs, quality manual"] * 3) == {(n, 1) for n in range(1, 7)}
+    assert headers(["If two controls drift upwards, the team"] * 2 + ["cold", "warm", "wet"]) == set()
+
+
 def test_operator(spark):
     rng = random.Random(4)
     pages, extractions, clean = [], [], " ".join(SENTENCES * 3)
