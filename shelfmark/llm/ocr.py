@@ -8,7 +8,8 @@ features decide what is furniture (running headers, page numbers).
 * The editor is trained on misread words of a bounded sample (``TRAINING_PAGES`` scanned pages), each paired with the only
   ordinary word that one small edit gives. Its proposals, best first, count if they give an ordinary word.
 * A version's pages are read in order in blocks of ``BLOCK_PAGES`` with the neighbouring pages as context, so that even a
-  version with a third of all pages spreads over many tasks.
+  version with a third of all pages spreads over many tasks. What recurs exactly at the edges of its pages is counted over
+  the whole version before.
 
 Defined results: pages without text have no lines; pages delivered twice count once; a version with one page has no
 recurring line. Versions count as scanned by the recognition language of their extraction record, also in damaged records; if
@@ -40,6 +41,8 @@ ORDINARY_LEAST = 4
 TRAINING_PAGES = 3000
 TRAINING_EPOCHS = 8
 BLOCK_PAGES = 64
+#: Pages on each side of a block that are read as its context: two left and two right ones.
+CONTEXT_PAGES = 4
 #: Proposals of the editor that are tried for a word.
 PROPOSALS = 200
 #: Different words of the sample in which a misreading is seen at least to become one of the editor's operations.
@@ -326,6 +329,33 @@ def running_key(line: str) -> tuple[str, tuple[str, ...]]:
     return " ".join(tokens), numbers
 
 
+def edge_lines(lines: list[str]) -> list[tuple[str, list[int]]]:
+    """(side, up to three lines from the edge on) of a page; nothing for a blank page."""
+    where = [i for i, x in enumerate(lines) if x.strip()]
+    return [("top", where[:3]), ("bottom", where[::-1][:3])] if where else []
+
+
+def line_name(side: str, key: tuple[str, tuple[str, ...]]) -> str:
+    return "\n".join([side, key[0], *key[1]])
+
+
+def step_name(side: str, step: int) -> str:
+    return f"{side} {step}"
+
+
+def edge_keys(number: int, text: str) -> set[str]:
+    """What can recur at the edges of a page: possible running lines, and how far page numbers are from the page's place."""
+    lines, out = text.split("\n"), set()
+    for side, order in edge_lines(lines):
+        for rank, i in enumerate(order):
+            if p := page_number(lines[i]):
+                if p[1] is not None:
+                    out.add(step_name(side, p[1] - number))
+            elif rank <= 1:
+                out.add(line_name(side, running_key(lines[i])))
+    return out
+
+
 def same_running(a: tuple[str, tuple], b: tuple[str, tuple]) -> bool:
     """Two lines are one running line but for misread characters."""
     if a == b:
@@ -391,18 +421,16 @@ class Repairer:
     def __init__(self, words: dict[str, int], editor: AveragedPerceptron, furniture: AveragedPerceptron | None, joins: AveragedPerceptron | None = None) -> None:
         self.words, self.editor, self.furniture, self.joins = words, Editor(editor, words), furniture, joins
 
-    def running_lines(self, pages: list[tuple[int, list[str]]]) -> dict[tuple[int, int], str]:
-        """(page, line from 0) to header or page_no."""
+    def running_lines(self, pages: list[tuple[int, list[str]]], recurring: frozenset[str] | set[str] = frozenset()) -> dict[tuple[int, int], str]:
+        """(page, line from 0) to header or page_no; recurring has the edge keys that stand on several pages of the version."""
         edges = {}
         shaped: list[tuple[int, int, str, tuple[str, int | None]]] = []
         candidates: dict[str, list[tuple[int, int, tuple, int]]] = {"top": [], "bottom": []}
         full = 0
-        for n, (number, lines) in enumerate(pages):
-            where = [i for i, x in enumerate(lines) if x.strip()]
-            if not where:
-                continue
-            full += 1
-            for side, order in (("top", where[:3]), ("bottom", where[::-1][:3])):
+        for n, (_, lines) in enumerate(pages):
+            sides = edge_lines(lines)
+            full += bool(sides)
+            for side, order in sides:
                 edges[n, side] = order
                 for rank, i in enumerate(order):
                     if p := page_number(lines[i]):
@@ -414,7 +442,7 @@ class Repairer:
         shapes = Counter((side, p[0]) for _, _, side, p in shaped)
         numbers = {}
         for n, i, side, p in shaped:
-            counted = p[1] is not None and steps[side, p[1] - pages[n][0]] >= 2
+            counted = p[1] is not None and (steps[side, p[1] - pages[n][0]] >= 2 or step_name(side, p[1] - pages[n][0]) in recurring)
             if p[0] in ("word", "total", "decorated") or counted or full == 1 or shapes[side, p[0]] >= max(2, RECURS * full):
                 numbers[n, i] = side
         running: dict[tuple[int, int], str] = {}
@@ -428,8 +456,11 @@ class Repairer:
                 else:
                     groups.append((c[2], [c]))
             for _, members in groups:
-                if len({m[0] for m in members}) >= 2:
-                    exact = Counter(own for _, own in {(m[0], m[2]) for m in members})  # pages of each
+                exact = Counter(own for _, own in {(m[0], m[2]) for m in members})  # pages of each
+                for own in exact:
+                    if exact[own] == 1 and line_name(side, own) in recurring:
+                        exact[own] = 2
+                if len({m[0] for m in members}) >= 2 or max(exact.values()) >= 2:
                     for n, i, own, rank in members:
                         heading = _looks_like_heading(_EDGE_NUMBER.sub("", pages[n][1][i].strip()))
                         # Running text may recur word by word on two pages; a line that does not look like a heading needs more than that.
@@ -475,10 +506,10 @@ class Repairer:
             inside = ""
         return [(m.start(), m.group()) for m in re.finditer(r"\S+", line)], inside
 
-    def version(self, pages: list[tuple[int, str]]) -> tuple[list[tuple[int, int, str]], dict[int, str]]:
+    def version(self, pages: list[tuple[int, str]], recurring: frozenset[str] | set[str] = frozenset()) -> tuple[list[tuple[int, int, str]], dict[int, str]]:
         """Defects (page number, line from 1, defect) and repaired text by page number, of pages in order."""
         split = [(number, text.split("\n")) for number, text in pages]
-        running = self.running_lines(split)
+        running = self.running_lines(split, recurring)
         defects = [(split[n][0], i + 1, kind) for (n, i), kind in running.items()]
         lines = [(n, i, x) for n, (_, ls) in enumerate(split) for i, x in enumerate(ls) if x.strip() and (n, i) not in running]
         # First all unknown words, so that the editor can decide them together.
@@ -615,13 +646,28 @@ def scanned_pages(pages: DataFrame, extractions: DataFrame) -> DataFrame:
     return rows.filter(F.col("certain") | F.col("text").rlike(_HARD_BREAK)).select("version_id", "number", "text")
 
 
+def _with_recurring(scanned: DataFrame) -> DataFrame:
+    """Adds recurring: the edge keys of a page that stand on other pages of its version too; null in versions of one block."""
+    long = scanned.filter(F.col("number") > BLOCK_PAGES).select("version_id").distinct()
+    if long.isEmpty():
+        return scanned.withColumn("recurring", F.lit(None).cast("array<string>"))
+
+    def keys(c: dict[str, list]) -> dict[str, list]:
+        rows = [(v, n, k) for v, n, t in zip(c["version_id"], c["number"], c["text"], strict=True) for k in edge_keys(n, t)]
+        return {name: [r[i] for r in rows] for i, name in enumerate(("version_id", "number", "name"))}
+
+    own = map_batches(scanned.join(long, "version_id", "left_semi").select("version_id", "number", "text"), keys, "version_id string, number int, name string").distinct()
+    several = own.groupBy("version_id", "name").agg(F.count("*").alias("n")).filter("n >= 2").drop("n")
+    return scanned.join(own.join(several, ["version_id", "name"]).groupBy("version_id", "number").agg(F.collect_set("name").alias("recurring")), ["version_id", "number"], "left")
+
+
 def _in_blocks(scanned: DataFrame) -> DataFrame:
     """Adds block, and the pages next to a block as its context."""
     k = F.col("number") - 1
     b = F.floor(k / BLOCK_PAGES)
     at = F.pmod(k, F.lit(BLOCK_PAGES))
-    blocks = F.when(at == 0, F.array(b, b - 1)).when(at == BLOCK_PAGES - 1, F.array(b, b + 1)).otherwise(F.array(b))
-    return scanned.select("version_id", "number", "text", F.explode(blocks).alias("block"))
+    before, after = F.when((at < CONTEXT_PAGES) & (b != 0), b - 1), F.when(at >= BLOCK_PAGES - CONTEXT_PAGES, b + 1)
+    return scanned.select(*scanned.columns, F.explode(F.array_compact(F.array(b, before, after))).alias("block"))
 
 
 def _over_versions(pages: DataFrame, extractions: DataFrame, schema: str, rows_of) -> DataFrame:
@@ -633,25 +679,26 @@ def _over_versions(pages: DataFrame, extractions: DataFrame, schema: str, rows_o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = None
-        key, own = None, []
+        key, own, recurring = None, [], set()
 
         def done() -> list[tuple]:
             version, block = key
             first, last = block * BLOCK_PAGES + 1, (block + 1) * BLOCK_PAGES
-            return [r for r in rows_of(version, *repairer.version(own)) if first <= r[1] <= last]
+            return [r for r in rows_of(version, *repairer.version(own, recurring)) if first <= r[1] <= last]
 
         out: list[tuple] = []
         for batch in batches:
             if repairer is None:
                 w, packed = shared.value
                 repairer = Repairer(w, *[AveragedPerceptron.unpacked(m) if m else None for m in packed])
-            for version, block, number, text in zip(*(batch.column(c).to_pylist() for c in ("version_id", "block", "number", "text")), strict=True):
+            for version, block, number, text, names in zip(*(batch.column(c).to_pylist() for c in ("version_id", "block", "number", "text", "recurring")), strict=True):
                 if (version, block) != key:
                     if key:
                         out += done()
-                    key, own = (version, block), []
+                    key, own, recurring = (version, block), [], set()
                 if not own or own[-1][0] != number:
                     own.append((number, text))
+                    recurring.update(names or ())
             if len(out) > 5000:
                 yield _batch(out, arrow)
                 out = []
@@ -660,7 +707,7 @@ def _over_versions(pages: DataFrame, extractions: DataFrame, schema: str, rows_o
         if out:
             yield _batch(out, arrow)
 
-    placed = _in_blocks(scanned)
+    placed = _in_blocks(_with_recurring(scanned))
     tasks = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return placed.repartition(tasks, "version_id", "block").sortWithinPartitions("version_id", "block", "number", "text").mapInArrow(run, schema)
 

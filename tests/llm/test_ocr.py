@@ -153,3 +153,14 @@ def test_blocks_give_the_same_as_the_whole(spark, words, editor, monkeypatch):
         own = sorted((r.number, r.text) for r in df.filter(O.F.col("block") == b).collect())
         parts |= {d for d in O.Repairer(words, editor, None).version(own)[0] if d[2] == "hyphen" and b * 8 < d[0] <= b * 8 + 8}
     assert parts == whole and len(whole) > 40
+
+
+def test_recurrence_is_decided_in_the_version_not_in_a_block(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(O, "BLOCK_PAGES", 8)
+    monkeypatch.setattr(O, "CONTEXT_PAGES", 2)
+    heads = {n: ("Tadore Calibrator change notice", "Gome Laboratory handbook")[n % 2] for n in range(1, 18)} | {2: "Appendix of Kezodo forms", 15: "Appendix of Kezodo forms"}
+    rows = [("v", n, "\n".join([heads[n], *rng.sample(SENTENCES, 4), str(n + 6)])) for n in heads] + [(f"c{i}", 1, " ".join(SENTENCES)) for i in range(20)]
+    p = spark.createDataFrame(rows, "version_id string, number int, text string")
+    found = O.find_defects(p, spark.createDataFrame([("v", '{"ocr_language":"eng"}')], "version_id string, payload string"))
+    assert {(r.page_number, r.defect) for r in found.filter("line_no in (1, 6)").collect()} >= {(n, d) for n in heads for d in ("header", "page_no")}
