@@ -4,7 +4,7 @@ Method: unfilled placeholders are found by delimiter-specific grammars and regul
 text that speaks about placeholders are discounted through surrounding context and density. Filler is judged by
 paragraph, error pages and script notices by the share of the text that such sentences make up.
 
-Native regular expressions, of which every case meets one, keep ordinary texts out of Python.
+Every text is judged by the rule itself, in Arrow batches; nothing is filtered before.
 
 Defined results: null and blank texts are no case. A text is judged whole, whatever its length. Rows are independent of
 each other, so repeated rows repeat their result.
@@ -95,71 +95,20 @@ _NAVIGATION = re.compile(
     r"(?:reference|ref|case|code|vorgang|référence|referencia|referência|incident|incidencia|incidência|caso|código|request id|編號|代碼)\W{0,3}[0-9a-f]{2,12}\W*|.{0,20}\bgateway \d[\d.]*\W*|\(ref \w+\)|ihr browser blockiert sie\W*|loading\W*)\W*$"
 )
 
-#: Parts of words of which every error or notice sentence has one.
-_STEMS = (
-    r"erro|erreur|fehler|found|gateway|forbidden|unauthori[sz]ed|gone\b|bad request|many requests|page|this server|moved or|(?:requested|this) (?:url|resource)\b|denied|permission|(?:sign|log) ?(?:in|on)\b|expired|timed out|went wrong"
-    r"|been notified|unavailable|answer in time|try again|gefunden|versuchen sie es|verweigert|melden sie|sitzung|verfügbar|introuvable|refusé|expiré|connecter|indispon|réessay|página|denegado|sesión|servicio|inténtelo|salió mal"
-    r"|negado|sessão|mais tarde|deu errado|java ?script|\bjs\b|\bscript|\bskript|找不到|頁面|存取|登入|伺服器|服務|稍後|逾時|過期|指令碼|腳本"
-)
-_STEM = re.compile(f"(?i){_STEMS}")
-
-
-def _java(pattern: str) -> str:
-    """A Java expression that finds something in each text, read raw, in whose normal form the Python pattern does.
-
-    Only for texts without ODD characters; what restricts the pattern (beginning of a sentence, what must not follow) is left out.
-    """
-    return "(?iud)" + re.sub(r"\(\?!\\W.*?\)\)", "", pattern.removeprefix("(?i)").replace(r"^\W*", "")).replace(" ", "[ \u00a0]")
-
-
-#: Java regular expression: characters but those that normalisation keeps, or changes in a way that the native expressions allow for
-#: (no-break space, micro sign, dots, full-width punctuation). A text with one is looked at in Python, which normalises it.
-ODD = "[^\\x00-\\x7F\u00a0«°µ·»À-ÿŒœ–—‘’“”„•…、。「」《》！（），：；？一-鿿]"
-#: Java regular expressions of which every error page meets both; the first is the faster one.
-ERROR_PREFILTERS = (_java(_STEMS), f"{_java(_ERROR.pattern)}|{_java(_SCRIPT.pattern)}")
-
-def _initials(words: frozenset[str]) -> str:
-    """An expression of the words, by first letter."""
-    first = sorted({w[0] for w in words})
-    return "(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in words if w[0] == c), reverse=True))})" for c in first) + ")"
-
-
-def _three_of_four(word: str) -> str:
-    """Three of four words that follow each other; what is in seven of ten of five or more words has that somewhere."""
-    w, gap = rf"{word}(?!\p{{L}})", r"[^\p{L}]++"
-    return rf"(?i)(?<!\p{{L}}){w}{gap}(?:{w}{gap}(?:\p{{L}}++{gap})?{w}|\p{{L}}++{gap}{w}{gap}{w})"
+# Parts of words, in lower case, of which every error or notice sentence has one.
+STEMS = (
+    "erro|erreur|fehler|found|gateway|forbidden|unauthori|gone|bad request|many requests|page|this server|moved or|requested url|this url|requested resource|this resource|denied|permission|"
+    "signin|sign in|signon|sign on|login|log in|logon|log on|expired|timed out|went wrong|been notified|unavailable|answer in time|try again|gefunden|versuchen sie es|verweigert|melden sie|sitzung|verfügbar|"
+    "introuvable|refusé|expiré|connecter|indispon|réessay|página|denegado|sesión|servicio|inténtelo|salió mal|negado|sessão|mais tarde|deu errado|js|script|skript|"
+    "找不到|頁面|存取|登入|伺服器|服務|稍後|逾時|過期|指令碼|腳本"
+).split("|")
 
 
-def _few_words() -> str:
-    """At most three different words among the first six of a line, or among all four or five of it."""
-    gap, groups = r"[^\p{L}\n]++", 0
-
-    def after(n: int, own: list[int]) -> str:
-        nonlocal groups
-        if n == 6:
-            return ""
-        again = rf"(?:{'|'.join(f'\\{g}' for g in own)})(?!\p{{L}})" + after(n + 1, own) if own else ""
-        new = ""
-        if len(own) < 3:
-            groups += 1
-            new = r"([a-z]++)(?!\p{L})" + after(n + 1, [*own, groups])
-        more = (gap if n else "") + (f"(?:{again}|{new})" if again and new else again or new)
-        return rf"(?:[^\p{{L}}\n]*+(?:\n|\z)|[^\p{{L}}\n]*?[.!?。！？]|{more})" if n >= 4 else more
-
-    return r"(?im)^[^\p{L}\n]*+" + after(0, [])
-
-
-#: Java regular expressions, of which every placeholder or filler case without ODD characters meets one. Apart they run faster than as one.
-PREFILTERS = (
-    r"\{[{%]|\$\{|<[%<]|%[A-Z]|__[A-Z]|\[\[|@@|#[a-z]|«",
-    rf"(?iu)[\[<(【（][^\[\]<>()【】（）\n]{{0,60}}?(?:{FILL_WORDS})".replace(" ", "[  ]"),
-    _three_of_four(_initials(LATIN_FILLER)),
-    # A paragraph begins with a line, and each of its sentences is noise or stock filler, so also the first one.
-    _few_words(),
-    r"(?im)^[^\p{L}\n]*+(?:([a-z])\1*+(?!\p{L})[^\p{L}\n]++){3}([a-z])\2*+(?!\p{L})",
-    r"(?im)^[^\p{L}\n]*+(?:votre|(?:your|sample|dummy|example|placeholder|body|replace|delete|overwrite|type|write|enter|add|put|insert|content|text|description|beispieltext|blindtext|platzhalter(?:text)?|mustertext|hier|ihren?|ersetzen|exemple|texte|remplacez|su|texto|sustituya|reemplace|seu|substitua)\b)",
-    r"(?m)^[^\p{L}\n]*+(?:此處|這裡|请|請|範例|示範|佔位)",
-)
+def _has_stem(text: str) -> bool:
+    low = text.lower()
+    if not low.isascii():  # the two letters that a regular expression without case takes for an i
+        low = low.replace("i\u0307", "i").replace("ı", "i")
+    return any(x in low for x in STEMS)
 
 
 def placeholders_left(text: str) -> bool:
@@ -178,14 +127,32 @@ def placeholders_left(text: str) -> bool:
     return False
 
 
+def _may_be_latin(folded: str) -> bool:
+    """False only if more than three in ten words are certainly none of the Latin filler's; much faster than to take all words apart."""
+    misses = tokens = unclear = 0
+    for t in folded.split():
+        tokens += 1
+        if not t.isalpha():
+            t = t.strip(".,;:!?()\"'")
+            if not t.isalpha():
+                unclear += len(t)  # at most every second character begins a word
+                continue
+        misses += t not in LATIN_FILLER
+    return misses <= 0.3 * (tokens + unclear / 2)
+
+
 def is_filler(paragraph: str) -> bool:
     """A paragraph of Latin filler, keyboard noise, one word again and again, or stock sentences to be replaced."""
-    words = _WORD.findall(paragraph.casefold())
-    if len(words) >= 5:
-        if sum(w in LATIN_FILLER for w in words) >= 0.7 * len(words):
+    folded = paragraph.casefold()
+    if _may_be_latin(folded):
+        words = _WORD.findall(folded)
+        if len(words) >= 5 and sum(map(LATIN_FILLER.__contains__, words)) >= 0.7 * len(words):
             return True
-    lines = [x for x in _SENTENCE.split(paragraph) if x.strip()]
-    return bool(lines) and all(_filler_line(x) for x in lines)
+    first, *rest = _SENTENCE.split(paragraph.lstrip(), 1)  # most paragraphs are decided by their first line
+    if first.strip() and not _filler_line(first):
+        return False
+    lines = [x for x in (first, *_SENTENCE.split(*rest)) if x.strip()] if rest else [first]
+    return bool(first.strip() or rest) and any(x.strip() for x in lines) and all(_filler_line(x) for x in lines)
 
 
 def _filler_line(line: str) -> bool:
@@ -203,16 +170,20 @@ def _letters(s: str) -> int:
 
 def is_error_page(text: str) -> bool:
     """Error or notice sentences make up at least half of the text that is neither navigation nor a heading."""
-    if not _STEM.search(text):
+    if not _has_stem(text):
         return False
     plain = _TAG.sub("\n", re.sub(r"(?is)<title>.*?</title>|<(script|style)\b.*?</\1\s*>", "\n", text)) if "<" in text else text
     kept = total = 0
+    left = len(plain)
     for s in _SENTENCE.split(plain):
-        if _STEM.search(s) and (_ERROR.search(s) or _SCRIPT.search(s)):
+        left -= len(s)
+        if _has_stem(s) and (_ERROR.search(s) or _SCRIPT.search(s)):
             kept += _letters(s)
             total += _letters(s)
-        elif not (_NAVIGATION.match(s) or len(s) <= HEADING and s[-1:] not in ".!?。！？"):
+        elif not (len(s) <= HEADING and s[-1:] not in ".!?。！？" or _NAVIGATION.match(s)):
             total += _letters(s)
+            if kept + left < PAGE_SHARE * (total + left):  # even if all that follows were error sentences
+                return False
     return kept > 0 and kept >= PAGE_SHARE * total
 
 
@@ -233,16 +204,11 @@ def residue_kind(text: str | None) -> str | None:
 
 def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, kind of each row whose text is residue instead of content."""
-    wanted = F.col(text).rlike(ODD)
-    for p in PREFILTERS:
-        wanted = wanted | F.col(text).rlike(p)
-    stem, sentence = ERROR_PREFILTERS
-    wanted = wanted | F.col(text).rlike(stem) & F.col(text).rlike(sentence)
-    possible = documents.select(key, text).filter(wanted)
+    rows = documents.select(key, text).filter(F.col(text).isNotNull())
 
     def judge(cols: dict[str, list]) -> dict[str, list]:
         kinds = [residue_kind(t) for t in cols[text]]
         keep = [i for i, k in enumerate(kinds) if k]
         return {key: [cols[key][i] for i in keep], "kind": [kinds[i] for i in keep]}
 
-    return map_batches(possible, judge, f"{key} {documents.schema[key].dataType.simpleString()}, kind string")
+    return map_batches(rows, judge, f"{key} {documents.schema[key].dataType.simpleString()}, kind string")

@@ -1,6 +1,4 @@
 import random
-import re
-import unicodedata
 from re import _constants as C
 from re import _parser
 
@@ -77,36 +75,28 @@ def a_match(pattern: str, rng: random.Random) -> str:
     return write(_parser.parse(pattern))
 
 
-def test_error_prefilters_hold_for_every_error_sentence(spark):
+def test_every_error_sentence_has_a_stem():
     rng = random.Random(1)
     some = [x for pattern, n in ((R._ERROR, 6000), (R._SCRIPT, 1500)) for x in (a_match(pattern.pattern, rng) for _ in range(n)) if pattern.search(x)]
-    some += [x.upper() for x in some if R._ERROR.search(x.upper())] + [x.replace(" ", "\u00a0") for x in some]
-    assert len(some) > 10_000 and [x for x in some if not R._STEM.search(unicodedata.normalize("NFKC", x))] == []
-    stem, sentence = R.ERROR_PREFILTERS
-    met = R.F.col("text").rlike(R.ODD) | R.F.col("text").rlike(stem) & R.F.col("text").rlike(sentence)
-    assert [r.text for r in spark.createDataFrame([(RUNNING * 2 + x,) for x in some], "text string").filter(~met).collect()] == []
+    some += [x.upper() for x in some if R._ERROR.search(x.upper())] + [x.replace("i", c) for x in some for c in "\u0130\u0131" if R._ERROR.search(x.replace("i", c))]
+    assert len(some) > 10_000 and [x for x in some if not R._has_stem(x)] == []
 
 
-def test_normalisation_changes_no_other_character_than_allowed_for():
-    kept = [c for c in map(chr, range(0x110000)) if not re.match(R.ODD, c)]
-    changed = {c: n for c in kept if (n := unicodedata.normalize("NFKC", c)) != c}
-    assert changed == {"\u00a0": " ", "µ": "μ", "…": "...", "！": "!", "（": "(", "）": ")", "，": ",", "：": ":", "；": ";", "？": "?"}
-    assert not any(map(unicodedata.combining, kept))
-
-
-def test_prefilters_hold_for_every_placeholder_and_filler(spark):
+def test_latin_gate_holds_for_every_latin_paragraph():
     rng = random.Random(2)
     latin = sorted(R.LATIN_FILLER)
-    noise = [[rng.choice("abcdefg") * rng.randint(1, 4) for _ in range(4)] for _ in range(300)] + [[rng.choice(some) for _ in range(rng.randint(4, 9))] for some in [["asdf", "Qwer", "zxcv"], ["test", "bla"]] for _ in range(300)]
-    mixed = [[rng.choice(latin if rng.random() < 0.75 else ["tray", "valve", "Wärme"]) for _ in range(rng.randint(5, 25))] for _ in range(1000)]
-    some = [rng.choice(["\n\n", "\n\n  - 1. ", "\n \n\u00a0"]) + rng.choice([" ", ", ", " 3-"]).join(w) + rng.choice(["", ".", "!\n", " …"]) for w in noise + mixed]
-    some += ["\n\n" + a_match(R._STOCK_FILLER.pattern, rng) for _ in range(2000)]
-    some += ["\n" + a_match(R._PLACEHOLDER.pattern, rng) for _ in range(1000)]
-    some += ["\n" + a + rng.choice(["", "bitte ", "x_"]) + rng.choice([w, w.upper(), w.capitalize()]).replace(" ", rng.choice([" ", "\u00a0"])) + rng.choice(["", ": x"]) + z for w in R.FILL_WORDS.split("|") for a, z in ("[]", "()", "（）", "【】", "<>", "［］", "｛｛｝｝"[::2], "＜＞")]
-    some += ["\nApproved by: (TBD)", "\n(Datum eintragen)", "\n｛｛owner｝｝", "\n\nUt enim ad minim veniam, quis nostrud", "\n\nExcepteur sint occaecat cupidatat non", "\n\naaaa bbbb cccc dddd"]
-    some = [x for x in some if R.residue_kind(RUNNING + x) in ("placeholder", "filler")]
-    assert len(some) > 2500
-    wanted = R.F.col("text").rlike(R.ODD)
-    for p in R.PREFILTERS:
-        wanted = wanted | R.F.col("text").rlike(p)
-    assert [r.text for r in spark.createDataFrame([(RUNNING + x,) for x in some], "text string").filter(~wanted).collect()] == []
+    for _ in range(3000):
+        words = [rng.choice(latin if rng.random() < 0.75 else ["tray", "valve", "Wärme", "7", "x1"]) for _ in range(rng.randint(5, 25))]
+        text = rng.choice(["\n\n  - 1. ", "\u00a0", "("]) + "".join(w + rng.choice([" ", " ", ", ", "-", "/", "_", "'", ". "]) for w in words)
+        own = R._WORD.findall(text.casefold())
+        if sum(w in R.LATIN_FILLER for w in own) >= 0.7 * len(own):
+            assert R._may_be_latin(text.casefold())
+
+
+@pytest.mark.parametrize(
+    "end", ["\n\nExcepteur sint occaecat cupidatat non", "\n\nUt enim ad minim veniam, quis nostrud", "\n\naaaa bbbb cccc dddd", "\n\nfoo bar foo bar foo bar foo bar", "\nApproved by: (TBD)", "\n(Datum eintragen)", "\n\uff5b\uff5bowner\uff5d\uff5d"]
+)
+def test_cases_at_the_end_of_long_texts(spark, end):
+    text = RUNNING * 30 + end
+    assert R.residue_kind(text) in ("placeholder", "filler")
+    assert R.find_residue(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1
