@@ -34,8 +34,9 @@ def orphan_rows(references: DataFrame, targets: DataFrame, min_heavy_rows: int =
     never = F.lit(_NEVER).cast("timestamp_ntz")
     ends = _keyed(targets).groupBy("_k").agg(F.max(F.coalesce(F.col("until"), never)).alias("until"))
 
-    # Pre-aggregated: one row per key and period, however many rows a key has.
-    per_key = refs.groupBy("_k", "period").agg(F.count("*").alias("n"), F.max("at").alias("last_at"))
+    # Pre-aggregated: one row per key and period (references without time share one), however many rows a key has.
+    refs = refs.withColumn("_period", F.coalesce("period", F.lit("")))
+    per_key = refs.groupBy("_k", "_period").agg(F.count("*").alias("n"), F.max("at").alias("last_at"))
     heavy = heavy_keys(per_key.groupBy("_k").agg(F.sum("n").alias("n")), "_k", "n", min_heavy_rows)
     orphan_key = F.col("until").isNull() | (F.col("until") <= F.col("last_at"))
 
@@ -45,8 +46,8 @@ def orphan_rows(references: DataFrame, targets: DataFrame, min_heavy_rows: int =
             keys = mine(per_key).groupBy("_k").agg(F.max("last_at").alias("last_at")).join(F.broadcast(mine(ends)), "_k", "left").filter(orphan_key).select("_k", "until")
             rows = mine(refs).join(F.broadcast(keys), "_k")
         else:
-            keys = mine(per_key).join(mine(ends), "_k", "left").filter(orphan_key).select("_k", "period", "until")
-            rows = mine(refs).join(keys, ["_k", "period"])
+            keys = mine(per_key).join(mine(ends), "_k", "left").filter(orphan_key).select("_k", "_period", "until")
+            rows = mine(refs).join(keys, ["_k", "_period"])
         return rows.filter(F.col("until").isNull() | (F.col("until") <= F.col("at")))
 
     found = orphans(False)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,14 +50,45 @@ def p2_orphan_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select(F.substring_index("group", ".", 1).alias("table_name"), F.substring_index("group", ".", -1).alias("field_name"), F.col("period").alias("period_month"), "n_references", "n_orphans", "n_missing_keys")
 
 
+def _landed(spark: SparkSession, sf: str, until: datetime | None = None) -> DataFrame:
+    versions = table(spark, sf, "versions")
+    if until is not None:
+        versions = versions.filter(F.col("landed_at") < F.lit(until).cast("timestamp_ntz"))
+    return written(incremental.landed_sources(versions, table(spark, sf, "documents"), table(spark, sf, "scans")), "landed")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = incremental.landed_sources(table(spark, sf, "versions"), table(spark, sf, "documents"), table(spark, sf, "scans"))
-    found, _ = incremental.run_incremental(written(rows, "landed"), incremental.new_content, new_path(spark, "incremental"))
+    """The first run over a new state: every partition counts as changed."""
+    found, _ = incremental.bring_up_to_date(_landed(spark, sf), new_path(spark, "incremental"))
+    return found.select("source_path", "source_hash")
+
+
+#: Time of the first run of p3_second_run.
+FIRST_RUN = datetime(2025, 5, 15)
+
+
+class _Lost(Exception):
+    """Stands for the end of a run's driver."""
+
+
+def p3_second_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over what had landed by ``FIRST_RUN``, one that dies before its commit, and one over all: each content with the run it came out in."""
+    folder = new_path(spark, "incremental")
+    incremental.bring_up_to_date(_landed(spark, sf, FIRST_RUN), folder)
+    landed = _landed(spark, sf)
+
+    def dies() -> None:
+        raise _Lost
+
+    with suppress(_Lost):
+        incremental.bring_up_to_date(landed, folder, dies)
+    found, _ = incremental.bring_up_to_date(landed, folder)
     return found
 
 
 def p3_partition_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    return incremental.fingerprints(incremental.landed_sources(table(spark, sf, "versions"), table(spark, sf, "documents"), table(spark, sf, "scans")))
+    landed = _landed(spark, sf)
+    return incremental.fingerprints(incremental.with_partition(landed, "source_path", incremental.buckets_for(landed, "root"), "root").drop("root"))
 
 
 def _resolved(spark: SparkSession, sf: str, with_lines: bool) -> DataFrame:
@@ -82,7 +116,7 @@ def p7_rings(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.cycle_members(_resolved(spark, sf, False))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p1_tables, p1_cells, p1_assets, p1_media, p2_found, p2_orphan_counts, p3_found, p3_partition_fingerprints, p7_found, p7_paths, p7_descendants, p7_descendant_counts, p7_rings)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p1_tables, p1_cells, p1_assets, p1_media, p2_found, p2_orphan_counts, p3_found, p3_second_run, p3_partition_fingerprints, p7_found, p7_paths, p7_descendants, p7_descendant_counts, p7_rings)}
 
 IN_EFFECT_SQL = """eff AS (
   SELECT file_id, parent_id, name, kind, captured_at, removed_at, size, integrity['sha256'] AS sha256 FROM (
@@ -181,6 +215,11 @@ FROM tot t LEFT JOIN orp o USING (table_name, field_name, period_month)""",
 SELECT d.source_path, lower(v.source_hash) AS source_hash FROM versions v JOIN docs d ON d.document_id = v.document_id AND d.rn = 1
 WHERE v.source_hash IS NOT NULL GROUP BY d.source_path, lower(v.source_hash)
 HAVING max(d.cutoff) IS NULL OR min(v.landed_at) > max(d.cutoff)""",
+    "p3_second_run": f"""WITH {_LANDED},
+c AS (
+  SELECT d.source_path, lower(v.source_hash) AS source_hash, min(v.landed_at) AS first_landed, max(d.cutoff) AS cutoff
+  FROM versions v JOIN docs d ON d.document_id = v.document_id AND d.rn = 1 WHERE v.source_hash IS NOT NULL GROUP BY ALL)
+SELECT source_path, source_hash, CASE WHEN first_landed < TIMESTAMP '{FIRST_RUN}' THEN 1 ELSE 2 END AS run FROM c WHERE cutoff IS NULL OR first_landed > cutoff""",
     "p7_found": f"WITH RECURSIVE {TREE_SQL} SELECT file_id, top_id, tree_depth, tree_state FROM placed",
     "p7_paths": f"WITH RECURSIVE {TREE_SQL} SELECT file_id, path FROM placed",
     "p7_descendants": f"WITH RECURSIVE {TREE_SQL} SELECT unnest(line) AS ancestor_id, file_id, (len(line) - generate_subscripts(line, 1))::BIGINT AS distance FROM placed",

@@ -293,13 +293,16 @@ def nested_paths(spark: SparkSession, sf: str) -> DataFrame:
 # --- assets, tables, coverage, bundle --------------------------------------------------------------------------------
 
 
-def _shred(spark: SparkSession, sf: str) -> DataFrame:
-    """The records taken apart once, for queries that need several of their tables."""
-    return written(nested.shredded(table(spark, sf, "extractions")), "shredded")
+def _shred(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
+    """The wanted kinds of the records taken apart once, for queries that need several of their tables; pages without their texts."""
+    parts = nested.shredded(table(spark, sf, "extractions"), kinds)
+    if "pages" in kinds:
+        parts = parts.withColumn("pages", F.transform("pages", lambda p: F.struct(p["preview"].alias("preview"), p["images"].alias("images"))))
+    return written(parts, "shredded")
 
 
 def asset_unresolved(spark: SparkSession, sf: str) -> DataFrame:
-    x = _shred(spark, sf)
+    x = _shred(spark, sf, "pages", "tables", "assets", "media")
     return assets.unresolved(nested.asset_references(x, True), nested.asset_table(x, True))
 
 
@@ -312,7 +315,7 @@ def asset_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unlocated_media(spark: SparkSession, sf: str) -> DataFrame:
-    x = _shred(spark, sf)
+    x = _shred(spark, sf, "pages", "tables", "media")
     return assets.unlocated_media(nested.media_table(x, True), nested.asset_references(x, True).filter("kind = 'image'"))
 
 
@@ -335,20 +338,20 @@ def _sizes(x: DataFrame) -> DataFrame:
 
 
 def span_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.overlaps(_cells(_shred(spark, sf)), _KEYS)
+    return tables.overlaps(_cells(_shred(spark, sf, "cells")), _KEYS)
 
 
 def span_reach(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.column_counts(_cells(_shred(spark, sf)), _KEYS)
+    return tables.column_counts(_cells(_shred(spark, sf, "cells")), _KEYS)
 
 
 def span_problems(spark: SparkSession, sf: str) -> DataFrame:
-    x = _shred(spark, sf)
+    x = _shred(spark, sf, "tables", "cells")
     return tables.span_problems(_cells(x), _sizes(x), _KEYS)
 
 
 def table_html_digest(spark: SparkSession, sf: str) -> DataFrame:
-    x = _shred(spark, sf)
+    x = _shred(spark, sf, "tables", "cells")
     cells = written(_cells(x), "cells")
     clean = cells.join(tables.overlaps(cells, _KEYS).select(*_KEYS).distinct(), _KEYS, "left_anti")
     return tables.table_html(clean, _sizes(x), _KEYS).select(*_KEYS, tx.digest(F.col("html")).alias("sha256"))

@@ -29,7 +29,7 @@ def run(spark, refs, targets, heavy):
 
 keys = st.sampled_from(["a", "b", "c", None])
 times = st.sampled_from([*T, None])
-ref = st.tuples(st.sampled_from(["g", "h"]), st.sampled_from(["r1", "r2", "r3"]), keys, times, st.sampled_from(["p1", "p2"]))
+ref = st.tuples(st.sampled_from(["g", "h"]), st.sampled_from(["r1", "r2", "r3"]), keys, times, st.sampled_from(["p1", "p2", None]))
 target = st.tuples(st.sampled_from(["g", "h"]), keys, times)
 
 
