@@ -65,6 +65,11 @@ def p9_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.without_leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items")).select("doc_id")
 
 
+def p9_without_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that leak something, their passages taken out."""
+    return leakage.without_spans(_table(spark, sf, "documents"), _table(spark, sf, "eval_items")).select("doc_id", "n_spans", F.md5("text").alias("text_md5"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(_table(spark, sf, "documents")).select("doc_id").distinct()
 
@@ -73,6 +78,6 @@ def p10_residue_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(_table(spark, sf, "documents")).groupBy("kind").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_document_languages, p5_found, p5_repaired_pages, p6_found, p6_page_forms, p6_token_states, p8_containers, p8_containers_by_class, p8_fill, p9_found, p9_clean_documents, p10_found, p10_residue_kinds)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_document_languages, p5_found, p5_repaired_pages, p6_found, p6_page_forms, p6_token_states, p8_containers, p8_containers_by_class, p8_fill, p9_found, p9_clean_documents, p9_without_passages, p10_found, p10_residue_kinds)}
 
 SQL: dict[str, str] = {}
