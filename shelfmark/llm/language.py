@@ -3,8 +3,10 @@
 Method: nearest-centroid classification. A text is a normalised TF-IDF vector of hashed character trigrams; it is compared by
 cosine with several centroids per language, found by clustering; too great a distance rejects it.
 
-The model is fitted on a bounded sample of labelled documents (``SAMPLE_DOCUMENTS``). Wrong labels in it are trimmed: a
-paragraph that lies nearer to another language's centroid is left out and the centroids are formed again.
+The model is fitted on a bounded sample: ``SAMPLE_PARAGRAPHS`` paragraphs, up to ``SAMPLE_CHARACTERS`` of each, of about
+``SAMPLE_DOCUMENTS`` labelled documents. Wrong labels in it are trimmed: a paragraph that lies nearer to another language's
+centroid is left out and the centroids are formed again. A language of ``SEEDS`` with few labelled paragraphs is fitted on its seed
+text too, so a corpus without any label has a model as well.
 
 A paragraph is what blank lines divide. The main language of a text is that of most of its paragraphs; equal numbers are
 decided by letters, then by the code's order. Rejected paragraphs (too short, names and numbers only, furniture) have no
@@ -19,22 +21,27 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrow import map_batches_from
+from shelfmark.llm.arrow import map_batches, map_batches_from
 from shelfmark.llm.forms import one_form
 from shelfmark.llm.residue import residue_kind
-from shelfmark.llm.sample import bounded_sample
+from shelfmark.llm.sample import bounded_sample, share_of
 from shelfmark.operators.skew import heavy_keys, lookup
 from shelfmark.session import written
 
 DIMENSIONS = 2048
 CENTROIDS = 3
 SAMPLE_DOCUMENTS = 3000
+SAMPLE_PARAGRAPHS = 15_000
+SAMPLE_CHARACTERS = 2000
+#: A language with fewer labelled paragraphs in the sample is given its seed text.
+FEW_PARAGRAPHS = 20
 #: Paragraphs with fewer letters are rejected.
 LEAST_LETTERS = 36
 #: Least cosine, as a share of what that language's own sample paragraphs reach on average.
@@ -59,9 +66,19 @@ ja jpn japanese 日本語
 ko kor korean 한국어
 ru rus russian русский
 """
+# Seed texts, each line: code, then a text in that language whose sentences serve as paragraphs.
+SEEDS = """
+en The people who work here have written down what they do each day, so that others can read it and do the same. When something goes wrong, it should be reported at once to the person who is in charge of the work. There is no reason to wait until the end of the week before the results are sent to those who asked for them. We would have been able to finish earlier if the parts that we ordered had come with the first delivery.
+de Die Leute, die hier arbeiten, haben aufgeschrieben, was sie jeden Tag tun, damit andere es lesen und ebenso machen können. Wenn etwas nicht stimmt, soll es sofort der Person gemeldet werden, die für die Arbeit verantwortlich ist. Es gibt keinen Grund, bis zum Ende der Woche zu warten, bevor die Ergebnisse an diejenigen geschickt werden, die danach gefragt haben. Wir hätten früher fertig werden können, wenn die bestellten Teile mit der ersten Lieferung gekommen wären.
+fr Les personnes qui travaillent ici ont écrit ce qu'elles font chaque jour, afin que les autres puissent le lire et faire de même. Quand quelque chose ne va pas, il faut le signaler aussitôt à la personne qui est chargée du travail. Il n'y a aucune raison d'attendre la fin de la semaine avant d'envoyer les résultats à ceux qui les ont demandés. Nous aurions pu finir plus tôt si les pièces que nous avions commandées étaient arrivées avec la première livraison.
+es Las personas que trabajan aquí han escrito lo que hacen cada día, para que los demás puedan leerlo y hacer lo mismo. Cuando algo no está bien, hay que avisar enseguida a la persona que está encargada del trabajo. No hay ninguna razón para esperar hasta el final de la semana antes de enviar los resultados a quienes los han pedido. Habríamos podido terminar antes si las piezas que pedimos hubieran llegado con la primera entrega.
+pt As pessoas que trabalham aqui escreveram o que fazem todos os dias, para que os outros possam ler e fazer o mesmo. Quando alguma coisa não está bem, deve ser comunicada logo à pessoa que está encarregada do trabalho. Não há nenhuma razão para esperar até ao fim da semana antes de enviar os resultados a quem os pediu. Teríamos podido acabar mais cedo se as peças que encomendámos tivessem chegado com a primeira entrega.
+zh 在這裡工作的人把每天所做的事情都寫了下來,讓其他人可以閱讀並且照著去做。如果發現有什麼不對的地方,應該馬上告訴負責這項工作的人。沒有理由等到這個星期結束以後,才把結果送給提出要求的人。如果我們訂購的零件和第一批貨物一起送到,我們本來可以更早完成。
+"""
 _NAMES = {n: line.split()[0] for line in LANGUAGE_NAMES.strip().splitlines() for n in line.split()}
 
 _BLANK_LINES = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
+_FOREIGN = re.compile("[Ͱ-ӿ]")
 _ODD = re.compile(r"[̀-ӿ​-‏⁠ﬀ-ﬆ豈-﫿＀-￯﻿]")
 
 
@@ -96,6 +113,12 @@ def _letter_table() -> np.ndarray:
     return _LETTER
 
 
+def _spelt(text: str) -> str:
+    """Letters of other scripts inside of a Latin text are spelt as it looks; a text in such a script keeps its letters."""
+    foreign, letters = len(_FOREIGN.findall(text)), sum(map(str.isalpha, text))
+    return unicodedata.normalize("NFKC", text) if 2 * foreign > letters else one_form(text)
+
+
 class Vectors:
     """Hashed trigram counts of paragraphs, chunk by chunk."""
 
@@ -103,7 +126,7 @@ class Vectors:
     def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(paragraphs, DIMENSIONS) counts, and the number of letters of each."""
         table = _letter_table()
-        joined = "\x00".join(one_form(t) if not t.isascii() and _ODD.search(t) else t for t in texts)
+        joined = "\x00".join(_spelt(t) if not t.isascii() and _ODD.search(t) else t for t in texts)
         raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = raw == 0
         letters = table[np.minimum(raw, 0xFFFF)]
@@ -170,10 +193,13 @@ class LanguageModel:
             own = x[right & (labels == lang)]
             if len(own) < 2:
                 continue
-            c = _clusters(own, CENTROIDS)
+            few = len(own) < FEW_PARAGRAPHS
+            c = _clusters(own, 1 if few else CENTROIDS)
             centres.append(c)
             owner += [lang] * len(c)
-            least[lang] = REJECT_SHARE * float((own @ c.T).max(1).mean())
+            # Few paragraphs lie near a centroid of their own making; each is compared with that of the others.
+            near = np.einsum("ij,ij->i", own, _unit(own.sum(0) - own)) if few else (own @ c.T).max(1)
+            least[lang] = REJECT_SHARE * float(near.mean())
         return cls(idf, np.concatenate(centres).astype(np.float32), owner, least)
 
     def classify(self, texts: list[str]) -> list[tuple[str | None, str | None, float, int]]:
@@ -199,10 +225,19 @@ class LanguageModel:
 
 
 def fit_on(documents: DataFrame) -> LanguageModel:
-    """The model from a bounded sample of documents whose label names a language."""
-    rows = bounded_sample(documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text"), ["doc_id"], SAMPLE_DOCUMENTS)
-    labelled = [(p, lang) for r in rows if (lang := label_language(r.lang)) for p in paragraphs(r.text)[:6] if len(p) >= 40]
-    return LanguageModel.fit(labelled)
+    """The model from a bounded sample of documents whose label names a language, and from seed texts where there are few."""
+    docs = share_of(documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text"), ["doc_id"], SAMPLE_DOCUMENTS)
+    every = docs.select("doc_id", "lang", F.posexplode(F.split("text", _BLANK_LINES.pattern)).alias("place", "p")).filter(F.length("p") >= 40)
+    rows = bounded_sample(every.withColumn("p", F.substring("p", 1, SAMPLE_CHARACTERS)), ["doc_id", "place"], SAMPLE_PARAGRAPHS)
+    labelled = [(r.p, lang) for r in rows if (lang := label_language(r.lang))]
+    return LanguageModel.fit(labelled + seed_paragraphs(labelled))
+
+
+def seed_paragraphs(labelled: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The sentences of the seed texts of languages with few labelled paragraphs."""
+    n = Counter(lang for _, lang in labelled)
+    seeds = [line.split(" ", 1) for line in SEEDS.strip().splitlines()]
+    return [(p, lang) for lang, text in seeds if n[lang] < FEW_PARAGRAPHS for p in re.split(r"(?<=\.) |(?<=。)", text) if p]
 
 
 def main_language(found: list[tuple[str | None, str | None, float, int]]) -> tuple[str | None, float]:
@@ -275,10 +310,6 @@ def version_languages(per_page: DataFrame) -> DataFrame:
     return best.select("version_id", F.when(name != "", name).alias("lang"), F.round(conf, 4).alias("confidence"))
 
 
-def _labels() -> dict[str, str]:
-    return dict(_NAMES)
-
-
 def document_cases(documents: DataFrame, model, with_all: bool = False) -> DataFrame:
     """row_key, segment, lang, confidence of documents: the label cases (segment 0) and the paragraphs in another language.
 
@@ -332,7 +363,9 @@ def language_cases(documents: DataFrame, versions: DataFrame, pages: DataFrame)
     """table_name, row_key, page_number, segment, lang, confidence of all label and segment cases."""
     model = _shared_model(documents)
     per_page = written(page_languages(pages, model), "page-languages")
-    once = per_page.dropDuplicates(["version_id", "page_number", "lang"])
+    # A page delivered twice counts once; if the texts differ, the row that sorts last holds.
+    rest = ["n", "letters", "confidence", "segments"]
+    once = per_page.groupBy("version_id", "page_number", "lang").agg(F.max(F.struct(*rest)).alias("r")).select("version_id", "page_number", "lang", *[f"r.{c}" for c in rest])
     main = written(version_languages(once), "version-languages")
     heavy = heavy_keys(once.groupBy("version_id").count(), "version_id", "count")
     segments = (
@@ -341,12 +374,9 @@ def language_cases(documents: DataFrame, versions: DataFrame, pages: DataFrame)
         .select("version_id", "page_number", "lang", F.inline("segments"))
         .select(F.lit("versions").alias("table_name"), F.col("version_id").alias("row_key"), "page_number", "segment", "lang", "confidence")
     )
-    label = F.col("label")
-    named = F.create_map(*[F.lit(x) for kv in _labels().items() for x in kv])
-    clean = F.lower(F.trim(label))
-    language = F.coalesce(F.try_element_at(named, clean), F.try_element_at(named, F.split(clean, r"[-_\s(/,;]").getItem(0)))
     labels = versions.filter(F.col("version_id").isNotNull()).groupBy("version_id").agg(F.max(F.col("metadata.language")).alias("label"))
-    wrong = main.filter(F.col("lang").isNotNull()).join(labels, "version_id").filter(~F.coalesce(language == F.col("lang"), F.lit(False)))
+    named = map_batches(main.filter(F.col("lang").isNotNull()).join(labels, "version_id"), lambda c: {**c, "label": [label_language(x) for x in c["label"]]}, "version_id string, lang string, confidence double, label string")
+    wrong = named.filter(~F.col("label").eqNullSafe(F.col("lang")))
     wrong = wrong.select(F.lit("versions").alias("table_name"), F.col("version_id").alias("row_key"), F.lit(0).cast("long").alias("page_number"), F.lit(0).cast("long").alias("segment"), "lang", "confidence")
     docs = document_cases(documents, model).select(F.lit("documents").alias("table_name"), "row_key", F.lit(0).cast("long").alias("page_number"), "segment", "lang", "confidence")
     return wrong.unionByName(segments).unionByName(docs)

@@ -23,6 +23,7 @@ as long as the capacity fills a container. Without rows there are no containers.
 from __future__ import annotations
 
 import base64
+import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -46,6 +47,8 @@ LEAST_QUOTA = 2
 SHARD_TOKENS = 8_000_000
 #: Tasks of one packing at most; beyond that a task packs several shards, one after another.
 MAX_TASKS = 10_000
+#: Rows of the parameter table of containers at most.
+MAX_CLASSES = 10_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -149,47 +152,51 @@ def pack_shard(rows: list[tuple], capacity: int, quota_of: dict[str, int]) -> li
 def pack(counts: DataFrame, containers: DataFrame) -> DataFrame:
     """container_class, container_id, doc_id, part, tokens: a packing of all texts for each row of containers.
 
-    counts: of :func:`token_counts`. Containers without class or with a capacity below 1 are left out.
+    counts: of :func:`token_counts`. containers is a parameter table that the driver reads; more than ``MAX_CLASSES`` rows are
+    refused. Containers without class or with a capacity below 1 are left out.
     """
     spark = counts.sparkSession
-    classes = sorted((r.container_class, r.capacity_tokens) for r in containers.filter(F.col("container_class").isNotNull() & (F.col("capacity_tokens") > 0)).distinct().limit(1000).collect())
+    fields = counts.schema["doc_id"].dataType.simpleString()
+    schema = f"container_class string, container_id string, doc_id {fields}, part int, tokens long"
+    given = containers.filter(F.col("container_class").isNotNull() & (F.col("capacity_tokens") > 0)).select("container_class", "capacity_tokens").distinct()
+    classes = sorted(map(tuple, given.limit(MAX_CLASSES + 1).collect()))
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} container classes")
+    if not classes:
+        return spark.createDataFrame([], schema)
     counts = written(counts, "token-counts")
     totals = counts.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
+    n, mean = max(1, totals.n), (totals.tokens or 0) / max(1, totals.n)
     shards = max(1, -(-(totals.tokens or 0) // SHARD_TOKENS))
     # Equal texts go round the shards, so that one shard does not get all copies of a text.
     spread = counts.withColumn("shard", F.pmod(F.xxhash64("cluster", "doc_id"), F.lit(shards)).cast("int"))
-    shares = counts.groupBy("source").agg(F.count("*").alias("k"))
     # A source's quota differs from the least only if it has a good part of all texts; there are few of those.
-    mean = (totals.tokens or 0) / max(1, totals.n)
-    fields = counts.schema["doc_id"].dataType.simpleString()
-    out = None
-    for name, capacity in classes:
-        inside = max(1.0, capacity / max(1.0, mean))
-        quotas = {r.source: r.q for r in shares.withColumn("q", F.ceil(QUOTA * inside * F.col("k") / max(1, totals.n))).filter(F.col("q") > LEAST_QUOTA).select("source", "q").collect()}
-        schema = f"container_class string, container_id string, doc_id {fields}, part int, tokens long"
-        arrow = to_arrow_schema(_parse_datatype_string(schema))
-
-        def run(batches: Iterator[pa.RecordBatch], name=name, capacity=capacity, quotas=quotas, arrow=arrow) -> Iterator[pa.RecordBatch]:
-            shard, rows = None, []
-
-            def done() -> pa.RecordBatch:
-                packed = pack_shard(rows, capacity, quotas)
-                cols = [[name] * len(packed), [f"{name}-{shard}-{p[3]}" for p in packed], [p[0] for p in packed], [p[1] for p in packed], [p[2] for p in packed]]
-                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
-
-            for b in batches:
-                for s, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "source", "cluster", "tokens")), strict=True):
-                    if s != shard:
-                        if rows:
-                            yield done()
-                        shard, rows = s, []
-                    rows.append(tuple(row))
-            if rows:
-                yield done()
-
-        one = spread.repartition(int(min(shards, MAX_TASKS)), "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], f"container_class string, container_id string, doc_id {fields}, part int, tokens long")
+    inside = [max(1.0, capacity / max(1.0, mean)) for _, capacity in classes]
+    shares = {r.source: r.k for r in counts.groupBy("source").agg(F.count("*").alias("k")).filter(F.col("k") * QUOTA * max(inside) > LEAST_QUOTA * n).collect()}
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            (name, capacity), shard = classes[group[0]], group[1]
+            quotas = {s: q for s, k in shares.items() if (q := math.ceil(QUOTA * inside[group[0]] * k / n)) > LEAST_QUOTA}
+            packed = pack_shard(rows, capacity, quotas)
+            cols = [[name] * len(packed), [f"{name}-{capacity}-{shard}-{p[3]}" for p in packed], [p[0] for p in packed], [p[1] for p in packed], [p[2] for p in packed]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+        for b in batches:
+            for c, s, *row in zip(*(b.column(x).to_pylist() for x in ("class", "shard", "doc_id", "source", "cluster", "tokens")), strict=True):
+                if (c, s) != group:
+                    if rows:
+                        yield done()
+                    group, rows = (c, s), []
+                rows.append(tuple(row))
+        if rows:
+            yield done()
+
+    every = spread.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(len(classes) - 1))))
+    return every.repartition(int(min(shards * len(classes), MAX_TASKS)), "class", "shard").sortWithinPartitions("class", "shard").mapInArrow(run, schema)
 
 
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:

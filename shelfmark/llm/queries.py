@@ -42,19 +42,12 @@ def p6_token_states(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
-    """Every text in a container of the widest class, which divides fewest texts."""
-    containers = _table(spark, sf, "containers")
-    widest = containers.join(containers.agg(F.max("capacity_tokens").alias("capacity_tokens")), "capacity_tokens")
-    return packing.pack(packing.token_counts(_table(spark, sf, "documents")), widest)
-
-
-def p8_containers_by_class(spark: SparkSession, sf: str) -> DataFrame:
     """One packing of all texts for each class."""
     return packing.pack(packing.token_counts(_table(spark, sf, "documents")), _table(spark, sf, "containers"))
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.fill_report(p8_containers_by_class(spark, sf), _table(spark, sf, "containers"))
+    return packing.fill_report(p8_containers(spark, sf), _table(spark, sf, "containers"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,6 +71,6 @@ def p10_residue_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(_table(spark, sf, "documents")).groupBy("kind").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_document_languages, p5_found, p5_repaired_pages, p6_found, p6_page_forms, p6_token_states, p8_containers, p8_containers_by_class, p8_fill, p9_found, p9_clean_documents, p9_without_passages, p10_found, p10_residue_kinds)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_document_languages, p5_found, p5_repaired_pages, p6_found, p6_page_forms, p6_token_states, p8_containers, p8_fill, p9_found, p9_clean_documents, p9_without_passages, p10_found, p10_residue_kinds)}
 
 SQL: dict[str, str] = {}

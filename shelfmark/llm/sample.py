@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
+def share_of(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """About ``most`` rows of ``df``, at most some more, chosen by the hash of the key columns; all rows if there are fewer."""
+    total = df.count()
+    if total <= most:
+        return df
+    share = min(1.0, 1.2 * most / total + 30 / total)
+    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def bounded_sample(df: DataFrame, keys: list[str], most: int) -> list[Row]:
     """At most ``most`` rows of ``df``, chosen by the hash of the key columns.
 
     Only about as many rows as asked for leave the tasks, however many tasks there are.
     """
-    total = df.count()
-    h = F.xxhash64(*keys)
-    if total > most:
-        share = min(1.0, 1.2 * most / total + 30 / total)
-        df = df.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)))
-    return df.orderBy(h, *keys).limit(most).collect()
+    return share_of(df, keys, most).orderBy(F.xxhash64(*keys), *keys).limit(most).collect()

@@ -48,3 +48,19 @@ def test_cases(spark, model, data):
             ("versions", "v1", 2, 2, "de"), ("versions", "v2", 0, 0, "de"), ("versions", "v4", 0, 0, "en"), ("versions", "v4", 1, 3, "de"),
         }
         assert L.language_cases(docs.limit(0), versions.limit(0), pages.limit(0)).count() == 0
+
+
+def test_without_any_label(spark):
+    """The seed texts give a model; nothing crashes on tables without rows or labels."""
+    en = "The calibration team records the reference thermometer behind the cooling unit before any specimen is reported to those who asked for it."
+    de = "Der Schichtführer überträgt die Werte gemäß dem ausgehängten Plan, damit der Verlauf für alle sichtbar bleibt, die danach fragen."
+    docs = spark.createDataFrame([(1, None, en), (2, "unknown", f"{de}\n\n{de}\n\n{en}"), (3, None, None)], "doc_id long, lang string, text string")
+    versions = spark.createDataFrame([("v", ("ＥＮＧＬＩＳＨ",)), ("w", None)], "version_id string, metadata struct<language:string>")
+    pages = spark.createDataFrame([("v", 1, en), ("w", 1, de), ("w", 1, "")], "version_id string, number int, text string")
+    got = {tuple(r)[:5] for r in L.language_cases(docs, versions, pages).collect()}
+    assert got == {("documents", "1", 0, 0, "en"), ("documents", "2", 0, 0, "de"), ("documents", "2", 0, 3, "en"), ("versions", "w", 0, 0, "de")}
+    assert L.language_cases(docs.limit(0), versions.limit(0), pages.limit(0)).count() == 0
+
+
+def test_texts_in_another_script_keep_their_letters():
+    assert L._spelt("оса сор") == "оса сор" and L._spelt("The sаmple is reаdy for the anаlyser") == "The sample is ready for the analyser"
