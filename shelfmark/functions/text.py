@@ -95,6 +95,7 @@ def asset_address(sha: Column, ext: Column) -> Column:
     return F.concat(F.lit("assets/"), sha, F.lit("."), ext)
 
 
+# Fixed value: the form of an asset's address.
 ASSET_ADDRESS = r"^assets/([0-9a-f]{64})\.(png|jpg|gif|webp|tiff|bmp|json|html|xml|pdf|bin)$"
 
 

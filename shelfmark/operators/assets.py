@@ -79,3 +79,15 @@ def metadata_problems(versions: DataFrame) -> DataFrame:
     aliases = F.coalesce((F.size(f"{m}.aliases") > 50) | F.exists(f"{m}.aliases", lambda a: a.isNull() | (F.length(a) > 200)), F.lit(False))
     p = F.when(long, "METADATA_SCHEMA").when(aliases, "METADATA_SCHEMA_ALIASES")
     return versions.select("version_id", p.alias("problem")).filter(F.col("problem").isNotNull()).distinct()
+
+
+METADATA_SCHEMA = "title string, kind string, brand string, model string, language string, external_reference string, aliases array<string>"
+METADATA_FIELDS = ["title", "kind", "brand", "model", "language", "external_reference", "aliases"]
+
+
+def metadata_from_json(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, metadata, problem of metadata given as JSON text: METADATA_SCHEMA for broken JSON, other types, or unknown fields."""
+    bad = {"columnNameOfCorruptRecord": "_bad"}
+    parsed = df.select(key, F.from_json(text, f"{METADATA_SCHEMA}, _bad string", bad).alias("m"), F.json_object_keys(text).alias("k"))
+    wrong = F.col("k").isNull() | F.col("m._bad").isNotNull() | (F.size(F.array_except("k", F.array(*map(F.lit, METADATA_FIELDS)))) > 0)
+    return parsed.select(key, F.struct(*[F.col(f"m.{f}").alias(f) for f in METADATA_FIELDS]).alias("metadata"), F.when(wrong, "METADATA_SCHEMA").alias("problem"))

@@ -53,3 +53,18 @@ def settle_states(observed: DataFrame, previous: DataFrame, now: float, settle:
     since = F.when(same, F.col("_since")).otherwise(F.lit(float(now)))
     waiting = ~same | (F.lit(float(now)) - since < settle) | (F.lit(float(now)) - F.col("mtime") < settle)
     return joined.select("path", "signature", since.alias("stable_since"), F.when(waiting, "waiting").otherwise("staged").alias("state"))
+
+
+def scan_report(with_root, scans: DataFrame, documents: DataFrame) -> DataFrame:
+    """root, attempted_at, success_at, complete, n_known, n_missing of each root after its last scan.
+
+    success_at is that of the last scan that succeeded, whatever came after; an incomplete last scan reports nothing missing. with_root:
+    gives paths their innermost root. Known are the documents under a root; missing are those of them that are removed.
+    """
+    last = last_scans(scans)
+    whole = F.coalesce("complete", F.lit(False)) & F.col("error").isNull()
+    kept = scans.filter(F.col("root").isNotNull() & whole).groupBy("root").agg(F.max("success_at").alias("success_at"))
+    placed = with_root(documents.select("document_id", "source_path", "removed_at"), last.select("root", F.col("attempted_at").alias("cutoff")))
+    known = placed.filter("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("n_known"), F.count("removed_at").alias("n_gone"))
+    joined = last.drop("success_at").join(kept, "root", "left").join(known, "root", "left").withColumn("_whole", whole)
+    return joined.select("root", "attempted_at", "success_at", F.col("_whole").alias("complete"), F.coalesce("n_known", F.lit(0)).alias("n_known"), F.when(F.col("_whole"), F.coalesce("n_gone", F.lit(0))).otherwise(0).cast("long").alias("n_missing"))

@@ -99,3 +99,30 @@ def identical_bytes(scope: DataFrame) -> DataFrame:
     """sha256 (lower case), size, n of source documents with the same bytes."""
     ok = F.coalesce(F.col("sha256").rlike("^[a-fA-F0-9]{64}$"), F.lit(False)) & (F.col("size") > 0)
     return classified(scope).filter((F.col("class") == "source_documents") & ok).groupBy(F.lower("sha256").alias("sha256"), "size").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def snapshot_problems(entries: DataFrame) -> DataFrame:
+    """file_id, problem (id, name, kind, size, duplicate) of rows that one snapshot may not hold; the first that applies.
+
+    Identifiers are counted before the rows are joined, so a repeated one costs no large group.
+    """
+    counts = entries.groupBy(F.col("file_id").alias("_f")).agg(F.count("*").alias("_n"))
+    problem = (
+        F.when(F.coalesce("file_id", F.lit("")) == "", "id")
+        .when(F.coalesce("name", F.lit("")) == "", "name")
+        .when(~F.coalesce(F.col("kind").isin("file", "folder"), F.lit(False)), "kind")
+        .when(F.col("size") < 0, "size")
+    )
+    own = entries.select("file_id", problem.alias("problem"))
+    several = counts.filter(F.col("_n") > 1).select(F.col("_f").alias("file_id"), F.lit("duplicate").alias("_p"))
+    # A row without another problem is a duplicate if its identifier stands several times.
+    plain = own.filter("problem IS NULL").select("file_id").distinct().join(several, "file_id").select("file_id", F.col("_p").alias("problem"))
+    return own.filter("problem IS NOT NULL").distinct().unionByName(plain)
+
+
+def merged_integrity(entries: DataFrame) -> DataFrame:
+    """file_id, integrity: the hashes of all observations merged; of one name the latest observation's holds."""
+    each = entries.filter(F.col("file_id").isNotNull() & F.col("integrity").isNotNull()).select("file_id", "captured_at", F.explode("integrity").alias("name", "value")).filter("value IS NOT NULL")
+    last = each.groupBy("file_id", "name").agg(F.max(F.struct("captured_at", "value")).alias("m"))
+    merged = last.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "m.value"))).alias("integrity"))  # a few hashes each
+    return entries.filter(F.col("file_id").isNotNull()).select("file_id").distinct().join(merged, "file_id", "left")

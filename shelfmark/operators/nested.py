@@ -28,10 +28,12 @@ WRAPS = 31
 #: White space, byte-order mark and null character.
 _EDGES = " \t\n\x0b\f\r\ufeff\x00"
 
-_CELL = "struct<row string, col string, rowspan string, colspan string, text string, header boolean>"
+_CELL = "row string, col string, rowspan string, colspan string, text string, header boolean"
 _ASSET = "struct<sha256 string, bytes string, media_type string, role string>"
 _MEDIA = "struct<asset string, package_part string>"
 KINDS = ("pages", "tables", "cells", "assets", "media")
+#: What can be wanted besides, as raw JSON in the rows of pages, tables and cells.
+PAGE_EXTRAS, TABLE_EXTRAS, CELL_EXTRAS = ("text_items", "locator"), ("provenance",), ("bbox",)
 
 
 def _clean(col: Column) -> Column:
@@ -90,9 +92,10 @@ def records(extractions: DataFrame) -> DataFrame:
 
 def _schema(kinds: tuple[str, ...]) -> str:
     """The nested schema of a record, as deep as the wanted tables need."""
-    cells = f", cells array<{_CELL}>" if "cells" in kinds else ""
-    tables = f", tables array<struct<id string, rows string, cols string, asset string{cells}>>" if {"tables", "cells"} & set(kinds) else ""
-    fields = [f"pages array<struct<number string, text string, preview string, images string{tables}>>"] if {"pages", "tables", "cells"} & set(kinds) else []
+    more = lambda extras: "".join(f", {x} string" for x in extras if x in kinds)
+    cells = f", cells array<struct<{_CELL}{more(CELL_EXTRAS)}>>" if "cells" in kinds else ""
+    tables = f", tables array<struct<id string, rows string, cols string, asset string{more(TABLE_EXTRAS)}{cells}>>" if {"tables", "cells"} & set(kinds) else ""
+    fields = [f"pages array<struct<number string, text string, preview string, images string{more(PAGE_EXTRAS)}{tables}>>"] if {"pages", "tables", "cells"} & set(kinds) else []
     fields += [f"assets map<string, {_ASSET}>"] * ("assets" in kinds) + [f"embedded_media array<{_MEDIA}>"] * ("media" in kinds)
     return ", ".join([*fields, "_bad string"])
 
@@ -101,39 +104,43 @@ def _there(array: Column) -> Column:
     return F.filter(F.coalesce(array, F.array()), lambda x: x.isNotNull())
 
 
-def _pages(items: Column, typed: bool, deep: bool) -> Column:
+def _extras(x: Column, names: tuple[str, ...], kinds: tuple[str, ...]) -> list[Column]:
+    return [x[n].alias(n) for n in names if n in kinds]
+
+
+def _pages(items: Column, typed: bool, kinds: tuple[str, ...]) -> Column:
     """array<struct<page, ordinal, text, preview, images, and if deep tables>> of the page list: typed structs, or raw JSON texts."""
 
     def page(x: Column, i: Column) -> Column:
-        p = x if typed else F.from_json(x, "number string, text string, preview string, images string, tables string")
+        p = x if typed else F.from_json(x, "number string, text string, preview string, images string, tables string, text_items string, locator string")
         number = F.coalesce(_number(p["number"]), (i + 1).cast("string"))
-        return F.struct(number.alias("page"), (i + 1).alias("ordinal"), p["text"].alias("text"), p["preview"].alias("preview"), p["images"].alias("images"), *([p["tables"].alias("tables")] if deep else []))
+        return F.struct(number.alias("page"), (i + 1).alias("ordinal"), p["text"].alias("text"), p["preview"].alias("preview"), p["images"].alias("images"), *_extras(p, PAGE_EXTRAS, kinds), *([p["tables"].alias("tables")] if {"tables", "cells"} & set(kinds) else []))
 
     return F.transform(items, page)
 
 
-def _tables(pages: Column, typed: bool, deep: bool) -> Column:
+def _tables(pages: Column, typed: bool, kinds: tuple[str, ...]) -> Column:
     """array<struct<page, table, ordinal, rows, cols, asset, and if deep cells>> over all pages."""
 
     def of_page(p: Column) -> Column:
         def table(x: Column, i: Column) -> Column:
-            t = x if typed else F.from_json(x, "id string, rows string, cols string, asset string, cells string")
-            return F.struct(p["page"].alias("page"), t["id"].alias("table"), (i + 1).alias("ordinal"), _number(t["rows"]).alias("rows"), _number(t["cols"]).alias("cols"), t["asset"].alias("asset"), *([t["cells"].alias("cells")] if deep else []))
+            t = x if typed else F.from_json(x, "id string, rows string, cols string, asset string, provenance string, cells string")
+            return F.struct(p["page"].alias("page"), t["id"].alias("table"), (i + 1).alias("ordinal"), _number(t["rows"]).alias("rows"), _number(t["cols"]).alias("cols"), t["asset"].alias("asset"), *_extras(t, TABLE_EXTRAS, kinds), *([t["cells"].alias("cells")] if "cells" in kinds else []))
 
         return F.transform(_there(p["tables"]) if typed else _objects(p["tables"]), table)
 
     return F.flatten(F.transform(pages, of_page))
 
 
-def _cells(tables: Column, typed: bool) -> Column:
+def _cells(tables: Column, typed: bool, kinds: tuple[str, ...]) -> Column:
     """array<struct<page, table, row, col, ...>> over all tables."""
 
     def of_table(t: Column) -> Column:
         def cell(x: Column, i: Column) -> Column:
-            c = x if typed else F.from_json(x, "row string, col string, rowspan string, colspan string, text string, header boolean")
+            c = x if typed else F.from_json(x, "row string, col string, rowspan string, colspan string, text string, header boolean, bbox string")
             return F.struct(
                 t["page"].alias("page"), t["table"].alias("table"), (i + 1).alias("ordinal"), _number(c["row"]).alias("row"), _number(c["col"]).alias("col"),
-                _number(c["rowspan"]).alias("rowspan"), _number(c["colspan"]).alias("colspan"), c["text"].alias("text"), c["header"].alias("header"),
+                _number(c["rowspan"]).alias("rowspan"), _number(c["colspan"]).alias("colspan"), c["text"].alias("text"), c["header"].alias("header"), *_extras(c, CELL_EXTRAS, kinds),
             )
 
         return F.transform(_there(t["cells"]) if typed else _objects(t["cells"]), cell)
@@ -165,7 +172,10 @@ def _media(record: Column, typed: bool) -> Column:
 
 
 def shredded(extractions: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """version_id with one array column per wanted child kind: pages, tables, cells, assets, media."""
+    """version_id with one array column per wanted child kind: pages, tables, cells, assets, media.
+
+    kinds may also name ``PAGE_EXTRAS``, ``TABLE_EXTRAS`` and ``CELL_EXTRAS`` beside their kind.
+    """
     # No filter stands between the steps: it would be pushed down and parse every record again. Damaged records give null arrays.
     fits = F.col("_t._bad").isNull()
     df = _complete(extractions).withColumn("_t", F.from_json("_p", _schema(kinds), {"columnNameOfCorruptRecord": "_bad"}))
@@ -175,19 +185,19 @@ def shredded(extractions: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFram
     for x, typed, mine in own:
         record = F.col(f"_{x}")
         if {"pages", "tables", "cells"} & set(kinds):
-            layers[0].append(F.when(mine, _pages(_there(record["pages"]) if typed else _objects(record["pages"]), typed, bool({"tables", "cells"} & set(kinds)))).alias(f"{x}_pages"))
+            layers[0].append(F.when(mine, _pages(_there(record["pages"]) if typed else _objects(record["pages"]), typed, kinds)).alias(f"{x}_pages"))
         if {"tables", "cells"} & set(kinds):
-            layers[1].append(_tables(F.col(f"{x}_pages"), typed, "cells" in kinds).alias(f"{x}_tables"))
+            layers[1].append(_tables(F.col(f"{x}_pages"), typed, kinds).alias(f"{x}_tables"))
         if "cells" in kinds:
-            layers[2].append(_cells(F.col(f"{x}_tables"), typed).alias(f"{x}_cells"))
+            layers[2].append(_cells(F.col(f"{x}_tables"), typed, kinds).alias(f"{x}_cells"))
         layers[0] += [F.when(mine, f(record, typed)).alias(f"{x}_{k}") for k, f in (("assets", _assets), ("media", _media)) if k in kinds]
     df = df.select("version_id", *layers[0])
     for more in layers[1:]:
         if more:
             df = df.select("*", *more)
     plain = {
-        "pages": lambda c: F.transform(c, lambda p: F.struct(p["page"].alias("page"), p["ordinal"].alias("ordinal"), p["text"].alias("text"), p["preview"].alias("preview"), p["images"].alias("images"))),
-        "tables": lambda c: F.transform(c, lambda t: F.struct(*[t[n].alias(n) for n in ("page", "table", "ordinal", "rows", "cols", "asset")])),
+        "pages": lambda c: F.transform(c, lambda p: F.struct(p["page"].alias("page"), p["ordinal"].alias("ordinal"), p["text"].alias("text"), p["preview"].alias("preview"), p["images"].alias("images"), *_extras(p, PAGE_EXTRAS, kinds))),
+        "tables": lambda c: F.transform(c, lambda t: F.struct(*[t[n].alias(n) for n in ("page", "table", "ordinal", "rows", "cols", "asset")], *_extras(t, TABLE_EXTRAS, kinds))),
     }
     one = lambda c: c
     return df.select("version_id", *[F.coalesce(plain.get(k, one)(F.col(f"t_{k}")), plain.get(k, one)(F.col(f"r_{k}"))).alias(k) for k in KINDS if k in kinds])

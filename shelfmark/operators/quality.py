@@ -105,6 +105,15 @@ def leak_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return counts.select(F.inline(rows))
 
 
-def word_breaks(col: Column) -> Column:
-    """White-space characters of a text, as the library counts them."""
-    return F.length(col) - F.length(F.regexp_replace(col, f"(?U){SPACE}", ""))
+# Extensions that a public tree does not hold.
+BLOCKED_SUFFIXES = [".pdf", ".doc", ".docx", ".xlsx", ".pptx", ".db", ".sqlite", ".sqlite3", ".pem", ".key", ".zip"]
+#: Bytes of a file of a public tree at most.
+MAX_PUBLIC_BYTES = 1_000_000
+
+
+def tree_guard(files: DataFrame) -> DataFrame:
+    """rule, n of files (source_path, text) that a public tree may not hold: blocked extensions, and else binary or large content."""
+    blocked = F.coalesce(suffix(F.col("source_path")).isin(BLOCKED_SUFFIXES), F.lit(False))
+    large = F.coalesce((F.octet_length("text") > MAX_PUBLIC_BYTES) | F.contains("text", F.lit("\x00")), F.lit(False))
+    counts = files.agg(F.count_if(blocked).alias("a"), F.count_if(~blocked & large).alias("b"))
+    return counts.select(F.inline(F.array(F.struct(F.lit("private-artifact-or-link").alias("rule"), F.col("a").alias("n")), F.struct(F.lit("binary-or-large-file").alias("rule"), F.col("b").alias("n")))))

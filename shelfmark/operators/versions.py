@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import canonical, digest
 
 COLUMNS = ["document_id", "fingerprint", "source_hash", "markdown_hash", "extraction_hash", "brief_hash", "metadata", "filename", "quality", "created_at"]
 
@@ -22,8 +23,10 @@ def once(versions: DataFrame) -> DataFrame:
 
 
 def pages_once(pages: DataFrame) -> DataFrame:
-    """One row per version_id and number."""
-    return pages.filter(F.col("version_id").isNotNull() & F.col("number").isNotNull()).dropDuplicates(["version_id", "number"])
+    """One row per version_id and number; if deliveries differ, the one that sorts last."""
+    rest = [c for c in ("text", "preview", "width", "height", "coordinate_system") if c in pages.columns]
+    grouped = pages.filter(F.col("version_id").isNotNull() & F.col("number").isNotNull()).groupBy("version_id", "number").agg(F.max(F.struct(*rest)).alias("_p"))
+    return grouped.select("version_id", "number", *[F.col(f"_p.{c}").alias(c) for c in rest])
 
 
 def current(versions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -95,8 +98,8 @@ def duplicate_fingerprints(versions: DataFrame) -> DataFrame:
 
 
 def new_fingerprints(incoming: DataFrame, known: DataFrame) -> DataFrame:
-    """The first incoming row of each document and fingerprint that is not known yet (idempotent ingest)."""
-    one = incoming.dropDuplicates(["document_id", "fingerprint"])
+    """document_id, fingerprint, version_id (the smallest) of each incoming document and fingerprint that is not known yet (idempotent ingest)."""
+    one = incoming.groupBy("document_id", "fingerprint").agg(F.min("version_id").alias("version_id"))
     return one.join(known.select("document_id", "fingerprint").distinct(), ["document_id", "fingerprint"], "left_anti")
 
 
@@ -125,3 +128,47 @@ def replayed(events: DataFrame, opens: str = "purchase", closes: str = "error")
     some = events.filter(F.col("event_type").isin(opens, closes) & F.col("user_id").isNotNull())
     last = some.groupBy("user_id").agg(F.max(F.struct("event_id", "event_type")).alias("_e"))
     return last.filter(F.col("_e.event_type") == opens).select("user_id", F.col("_e.event_id").alias("event_id"))
+
+
+HASHES = ["source_hash", "markdown_hash", "extraction_hash", "brief_hash"]
+
+
+def hash_problems(versions: DataFrame) -> DataFrame:
+    """version_id, field, problem (missing, address) of content addresses that are no SHA-256."""
+    every = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("h")) for c in HASHES])
+    rows = versions.filter(F.col("version_id").isNotNull()).select("version_id", F.inline(every))
+    problem = F.when(F.col("h").isNull(), "missing").when(~F.col("h").rlike(r"^[0-9a-fA-F]{64}\z"), "address")
+    return rows.select("version_id", "field", problem.alias("problem")).filter("problem IS NOT NULL").distinct()
+
+
+def verified(versions: DataFrame, blobs: DataFrame) -> DataFrame:
+    """version_id, field, problem (missing, hash) of the four contents of each version against the store.
+
+    blobs: address (the hash that names it), content. A content whose own hash is not its address counts as damaged.
+    """
+    every = F.array(*[F.struct(F.lit(c).alias("field"), F.lower(c).alias("address")) for c in HASHES])
+    have = blobs.select(F.lower("address").alias("address"), (F.sha2("content", 256) == F.lower("address")).alias("_ok")).groupBy("address").agg(F.bool_and("_ok").alias("_ok"))
+    wanted = once(versions).select("version_id", F.inline(every)).join(have, "address", "left")
+    problem = F.when(F.col("_ok").isNull(), "missing").when(~F.col("_ok"), "hash")
+    return wanted.select("version_id", "field", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+# What a fingerprint names besides the contents.
+RENDERER, _BRIEF_METHOD = "fulltext-v2", "extractive-navigation-v2"
+
+
+def composed_fingerprints(versions: DataFrame) -> DataFrame:
+    """version_id, sha256 of the canonical JSON of source, metadata, extraction, renderer and brief method."""
+    meta = F.struct(*[F.col(f"metadata.{f}").alias(f) for f in ("aliases", "brand", "external_reference", "kind", "language", "model", "title")])
+    whole = canonical(("source", F.lower("source_hash")), ("metadata", meta), ("extraction", F.lower("extraction_hash")), ("renderer", F.lit(RENDERER)), ("brief_method", F.lit(_BRIEF_METHOD)))
+    return once(versions).select("version_id", digest(whole).alias("sha256"))
+
+
+def identity_conflicts(incoming: DataFrame, known: DataFrame) -> DataFrame:
+    """document_id, path, problem of incoming rows that contradict the library: path (it belongs to another document) or document (it has another path)."""
+    own = incoming.select("document_id", "path").filter(F.col("path").isNotNull()).distinct()
+    by_path = known.select("path", F.col("document_id").alias("_owner"))
+    by_document = known.select("document_id", F.col("path").alias("_at"))
+    joined = own.join(by_path, "path", "left").join(by_document, "document_id", "left")
+    problem = F.when(F.col("_owner") != F.col("document_id"), "path").when(F.col("_owner").isNull() & (F.col("_at") != F.col("path")), "document")
+    return joined.select("document_id", "path", problem.alias("problem")).filter("problem IS NOT NULL")

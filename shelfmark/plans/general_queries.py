@@ -175,10 +175,10 @@ one AS (
   SELECT version_id, CASE WHEN p LIKE '"%' AND json_valid(p) THEN regexp_replace(p::JSON->>'$', '^[\\s\\x{FEFF}]+|\\s+$', '', 'g') ELSE p END AS p FROM clean),
 rec AS (SELECT version_id, p::JSON AS j FROM one WHERE p LIKE '{%' AND json_valid(p)),
 pg AS (
-  SELECT version_id, coalesce(x->>'$.number', CAST(i AS VARCHAR)) AS page, i AS ordinal, x->>'$.text' AS text, x->>'$.preview' AS preview, x->'$.tables' AS tables, x->'$.images' AS images FROM (
+  SELECT version_id, coalesce(x->>'$.number', CAST(i AS VARCHAR)) AS page, i AS ordinal, x->>'$.text' AS text, x->>'$.preview' AS preview, x->'$.tables' AS tables, x->'$.images' AS images, x->'$.text_items' AS text_items FROM (
     SELECT version_id, unnest(CASE json_type(j->'$.pages') WHEN 'ARRAY' THEN (j->'$.pages')::JSON[] WHEN 'OBJECT' THEN [j->'$.pages'] END) AS x, generate_subscripts(CASE json_type(j->'$.pages') WHEN 'ARRAY' THEN (j->'$.pages')::JSON[] WHEN 'OBJECT' THEN [j->'$.pages'] END, 1) AS i FROM rec)),
 tb AS (
-  SELECT version_id, page, x->>'$.id' AS tid, i AS ordinal, x->>'$.rows' AS n_rows, x->>'$.cols' AS n_cols, x->>'$.asset' AS asset, x->'$.cells' AS cells FROM (
+  SELECT version_id, page, x->>'$.id' AS tid, i AS ordinal, x->>'$.rows' AS n_rows, x->>'$.cols' AS n_cols, x->>'$.asset' AS asset, x->'$.cells' AS cells, x->'$.provenance' AS provenance FROM (
     SELECT version_id, page, unnest(CASE json_type(tables) WHEN 'ARRAY' THEN tables::JSON[] WHEN 'OBJECT' THEN [tables] END) AS x, generate_subscripts(CASE json_type(tables) WHEN 'ARRAY' THEN tables::JSON[] WHEN 'OBJECT' THEN [tables] END, 1) AS i FROM pg)),
 ce AS (
   SELECT version_id, page, tid, i AS ordinal, x FROM (

@@ -30,15 +30,11 @@ def _t(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
 
 
 def search_all_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(*_t(spark, sf, "versions", "documents", "pages"), query=QUERY, exact=False)
-
-
-def search_exact_fold(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(*_t(spark, sf, "versions", "documents", "pages"), query=QUERY)
 
 
 def search_kind_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(*_t(spark, sf, "versions", "documents", "pages"), query=QUERY, kind=KIND, exact=False)
+    return search.search(*_t(spark, sf, "versions", "documents", "pages"), query=QUERY, kind=KIND)
 
 
 def search_first_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -371,7 +367,7 @@ def bundle_manifest(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        search_all_terms, search_exact_fold, search_kind_filter, search_first_results, newer_candidate, latest_version, latest_by_path, version_history, audit_tail, status_counts, quality_histogram, kind_map, publish_gate,
+        search_all_terms, search_kind_filter, search_first_results, newer_candidate, latest_version, latest_by_path, version_history, audit_tail, status_counts, quality_histogram, kind_map, publish_gate,
         duplicate_fingerprints, identical_sources, unchanged_sources, lifecycle_replay, metadata_digest, metadata_violations, page_quality, sidecar_status, leak_guard, markdown_images, pipeline_markers, langextract_spans,
         joined_text_digest, rendered_page_digest, full_markdown_digest, first_pages, brief_excerpts, brief_tree, brief_card_digest, catalog_tree, catalog_sizes, title_labels, inventory_ancestry, inventory_classes, inventory_counts,
         inventory_missing_sidecars, inventory_orphan_sidecars, inventory_empty_files, inventory_conflicts, inventory_identical_bytes, inventory_violations, name_parts, source_health, all_sources_fresh, missing_sources, settle_batch,
@@ -398,8 +394,18 @@ def _excerpt(x: str) -> str:
     return f"CASE WHEN {_strip(f"coalesce({x}, '')")} = '' THEN '[No extracted text]' ELSE {_label(f"substring({_strip(f"coalesce({x}, '')")}, 1, 160)")} END"
 
 
-def _fold(x: str) -> str:
-    return f"regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+# The compatibility forms that the tables hold besides the full-width ones, and what they fold to.
+_FORMS = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "µ": "μ", "™": "tm", "½": "12", "¼": "14", "¾": "34", "ß": "ss", "ς": "σ"}
+_ONE_TO_ONE = ("²³¹ªº⁰⁴⁵⁶⁷⁸⁹" + "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "231ao0456789" + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)))
+
+
+def _fold_exact(x: str) -> str:
+    """Normal form KC, case folded, letters and digits only."""
+    quoted = [t.replace("'", "''") for t in _ONE_TO_ONE]
+    one = f"lower(nfc_normalize(translate({x}, '{quoted[0]}', '{quoted[1]}')))"
+    for form, to in _FORMS.items():
+        one = f"replace({one}, '{form}', '{to}')"
+    return f"regexp_replace({one}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
 def _search(kind: str = "") -> str:
@@ -407,9 +413,9 @@ def _search(kind: str = "") -> str:
     fields = [f"CASE WHEN metadata.{f} IS NOT NULL THEN '{f}' || {f"array_to_string(metadata.{f}, '')" if f == 'aliases' else f'metadata.{f}'} END" for f in ("aliases", "brand", "external_reference", "kind", "language", "model", "title")]
     any_term = " OR ".join(f"contains(t, '{t}')" for t in terms)
     return f"""WITH {_CUR}, {_P},
-ft AS (SELECT version_id, number, {_fold("coalesce(text, '')")} AS t FROM pg0),
+ft AS (SELECT version_id, number, {_fold_exact("coalesce(text, '')")} AS t FROM pg0),
 al AS (SELECT version_id, string_agg(t, '' ORDER BY number) AS allt, string_agg(CASE WHEN {any_term} THEN number::VARCHAR END, ',' ORDER BY number) AS mp FROM ft GROUP BY version_id),
-res AS (SELECT cur.document_id, cur.version_id, coalesce(mp, '') AS matching_pages, {_fold(f"concat_ws('', {', '.join(fields)})")} || coalesce(allt, '') AS w FROM cur LEFT JOIN al USING (version_id) {kind}),
+res AS (SELECT cur.document_id, cur.version_id, coalesce(mp, '') AS matching_pages, {_fold_exact(f"concat_ws('', {', '.join(fields)})")} || coalesce(allt, '') AS w FROM cur LEFT JOIN al USING (version_id) {kind}),
 found AS (SELECT document_id, version_id, matching_pages FROM res WHERE {" AND ".join(f"contains(w, '{t}')" for t in terms)})"""
 
 

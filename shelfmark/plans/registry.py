@@ -8,6 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from shelfmark.plans import general_queries, library_queries
+    from shelfmark.plans import general_queries, library_queries, record_queries
 
-    return {**library_queries.QUERIES, **general_queries.QUERIES}
+    return {**library_queries.QUERIES, **record_queries.QUERIES, **general_queries.QUERIES}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import digest
+from shelfmark.functions.text import digest, suffix
 from shelfmark.operators.assets import file_differences, path_problem
-from shelfmark.operators.navigation import brief_cards
+from shelfmark.operators.navigation import full_briefs, kind_catalogs, library_map
+from shelfmark.operators.nested import asset_table
 from shelfmark.operators.reading import full_markdown
 from shelfmark.operators.versions import current, pages_once
 
@@ -21,16 +22,49 @@ RULES = [
 ]
 
 
-def bundle_files(versions: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """path, content of the bundle's text files: full text and brief cards of each current version, and the rules."""
-    cur = current(versions, documents)
+def _base() -> Column:
+    return F.concat(F.lit("documents/"), F.col("version_id"), F.lit("/"))
+
+
+def documents(current_versions: DataFrame) -> DataFrame:
+    """The bundle's list of documents: what each is and where its files stand."""
+    return current_versions.select(
+        "document_id", "version_id", F.col("metadata.title").alias("title"), F.coalesce("metadata.kind", F.lit("document")).alias("kind"), F.col("filename").alias("original_filename"), F.lower("source_hash").alias("source_sha256"),
+        F.concat(_base(), F.lit("original"), F.coalesce(suffix(F.col("filename")), F.lit(""))).alias("original"), F.concat(_base(), F.lit("brief.md")).alias("brief"), F.concat(_base(), F.lit("full.md")).alias("fulltext"),
+        F.concat(_base(), F.lit("extraction.json")).alias("extraction"), F.lit("unverified").alias("evidence_status"),
+    )
+
+
+def asset_files(current_versions: DataFrame, extractions: DataFrame) -> DataFrame:
+    """path, bytes, sha256 of the assets of the current versions, by their records."""
+    own = asset_table(extractions).join(current_versions.select("version_id").distinct(), "version_id", "left_semi")
+    return own.select(F.concat(_base(), "asset").alias("path"), F.col("bytes").try_cast("bigint").alias("bytes"), F.lower("sha256").alias("sha256")).distinct()
+
+
+def reference_problems(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """version_id, field, problem of a bundle's documents: BUNDLE_SCHEMA for files that are not there, INTEGRITY for originals of another hash.
+
+    files: path, sha256.
+    """
+    every = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("path")) for f in ("brief", "fulltext", "original", "extraction")])
+    refs = docs.select("version_id", "source_sha256", F.inline(every))
+    have = files.select("path", F.lower("sha256").alias("_sha"), F.lit(True).alias("_there"))
+    joined = refs.join(have, "path", "left")
+    problem = F.when(F.col("_there").isNull(), "BUNDLE_SCHEMA").when((F.col("field") == "original") & ~F.col("_sha").eqNullSafe(F.col("source_sha256")), "INTEGRITY")
+    return joined.select("version_id", "field", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def bundle_files(versions: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """path, content of the bundle's text files: full text and cards of each current version, catalogs by kind, the map and the rules."""
+    cur = current(versions, docs)
     ids = cur.select("version_id").distinct()
     own = pages_once(pages).join(ids, "version_id", "left_semi")
-    base = F.concat(F.lit("documents/"), F.col("version_id"), F.lit("/"))
-    full = full_markdown(cur.drop("source_path"), own).select(F.concat(base, F.lit("full.md")).alias("path"), F.col("markdown").alias("content"))
-    cards = brief_cards(own).select(F.concat(base, F.col("card")).alias("path"), F.col("markdown").alias("content"))
-    rules = cur.sparkSession.range(1).select(F.lit("00_CONSTITUTION.md").alias("path"), F.lit("\n".join(f"- {r}" for r in RULES) + "\n").alias("content"))
-    return full.unionByName(cards).unionByName(rules)
+    full = full_markdown(cur.drop("source_path"), own).select(F.concat(_base(), F.lit("full.md")).alias("path"), F.col("markdown").alias("content"))
+    cards = full_briefs(cur.drop("source_path"), own).select(F.concat(_base(), F.col("card")).alias("path"), F.col("markdown").alias("content"))
+    catalogs = kind_catalogs(cur).select(F.col("card").alias("path"), F.col("markdown").alias("content"))
+    top = library_map(cur).select(F.col("card").alias("path"), F.col("markdown").alias("content"))
+    rules = cur.sparkSession.range(1).select(F.lit("00_CONSTITUTION.md").alias("path"), F.lit("# Library reading rules\n\n" + "\n\n".join(RULES) + "\n").alias("content"))
+    return full.unionByName(cards).unionByName(catalogs).unionByName(top).unionByName(rules)
 
 
 def manifest(files: DataFrame) -> DataFrame:

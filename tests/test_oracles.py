@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from shelfmark.plans import general_queries, library_queries
+from shelfmark.plans import general_queries, library_queries, record_queries
 
-QUERIES = {**library_queries.QUERIES, **general_queries.QUERIES}
-SQL = {**library_queries.SQL, **general_queries.SQL}
+QUERIES = {**library_queries.QUERIES, **record_queries.QUERIES, **general_queries.QUERIES}
+SQL = {**library_queries.SQL, **record_queries.SQL, **general_queries.SQL}
 
 
 def _norm(v):
