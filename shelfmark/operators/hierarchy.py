@@ -30,6 +30,8 @@ from shelfmark.session import path_of, remove, written
 MAX_COMPONENT = 200_000
 #: Components are packed into groups of about so many inner nodes for one traversal call.
 GROUP_NODES = 20_000
+#: Tasks of the traversal at most; beyond that a task has several groups, one after another.
+MAX_TASKS = 10_000
 
 
 def inner_nodes(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -42,39 +44,50 @@ def inner_nodes(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     inner = written(named.join(parents, "id", "left_semi"), "inner")
     # A parent that is found nowhere ends the chain.
     there = inner.select(F.col("id").alias("parent"), F.lit(True).alias("_there"))
-    return inner.join(there, "parent", "left").select("id", "name", F.when(F.col("_there"), F.col("parent")).alias("parent"), "is_root")
+    heavy = heavy_keys(inner.groupBy("parent").count(), "parent", "count")
+    return lookup(inner, there, "parent", heavy).select("id", "name", F.when(F.col("_there"), F.col("parent")).alias("parent"), "is_root")
+
+
+def _heavy(rows: DataFrame, key: str, n: int) -> list:
+    """Heavy keys of n rows; fewer rows than make one heavy are not counted."""
+    return heavy_keys(rows.groupBy(key).count(), key, "count") if n >= MIN_HEAVY_ROWS else []
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def components(inner: DataFrame) -> DataFrame:
     """id, name, parent, is_root, ptr, steps, label, ring of each inner node.
 
     Pointer doubling: after round k a pointer reaches 2^k steps up or the top. label is the top, or for rings the smallest
-    id of the ring; ring tells that the chain never ends.
+    id of the ring; ring tells that the chain never ends. A round writes only the nodes whose chain has not ended before.
     """
-    spark = inner.sparkSession
     state = written(inner.select("id", "name", "parent", "is_root", F.coalesce("parent", "id").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("parent").isNull().alias("done"), F.coalesce("parent", "id").alias("low")), "pointers")
-    left = state.filter(~F.col("done")).count()
+    ended, open_ = [state.filter("done")], state.filter(~F.col("done"))
+    left = open_.count()
     extra = None
     reach = 1
     while left and (extra is None or reach < 2 * extra):
-        jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("steps").alias("_s"), F.col("done").alias("_d"), F.col("low").alias("_l"))
-        heavy = heavy_keys(state.filter(~F.col("done")).groupBy("ptr").count(), "ptr", "count")
-        moved = lookup(state.filter(~F.col("done")), jump, "ptr", heavy, "inner").select("id", "name", "parent", "is_root", F.col("_p").alias("ptr"), (F.col("steps") + F.col("_s")).alias("steps"), F.col("_d").alias("done"), F.least("low", "_l").alias("low"))
-        old = path_of(state)
-        state = written(state.filter("done").unionByName(moved), "pointers")
-        for p in old:
-            remove(spark, p)
-        before, left, reach = left, state.filter(~F.col("done")).count(), reach * 2
+        jump = _union([*ended, open_]).select(F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("steps").alias("_s"), F.col("done").alias("_d"), F.col("low").alias("_l"))
+        moved = lookup(open_, jump, "ptr", _heavy(open_, "ptr", left), "inner").select("id", "name", "parent", "is_root", F.col("_p").alias("ptr"), (F.col("steps") + F.col("_s")).alias("steps"), F.col("_d").alias("done"), F.least("low", "_l").alias("low"))
+        state = written(moved, "pointers")
+        ended.append(state.filter("done"))
+        open_ = state.filter(~F.col("done"))
+        before, left, reach = left, open_.count(), reach * 2
         if left == before:  # a round that ends no chain: what is left hangs on rings
             extra = left
+    cols = ["id", "name", "parent", "is_root", "ptr", "steps"]
+    out = _union(ended).select(*cols, F.col("ptr").alias("label"), F.lit(False).alias("ring"))
     if not left:
-        return state.select("id", "name", "parent", "is_root", "ptr", "steps", F.col("ptr").alias("label"), F.lit(False).alias("ring"))
+        return out
     # A pointer that went as far as there are such nodes lies on the ring, and its own smallest id is that of the whole ring.
-    ring = state.filter(~F.col("done")).select(F.col("id").alias("ptr"), F.col("low").alias("_ring"))
-    heavy = heavy_keys(state.filter(~F.col("done")).groupBy("ptr").count(), "ptr", "count")
-    bound = lookup(state.filter(~F.col("done")), ring, "ptr", heavy, "inner")
-    cols = ["id", "name", "parent", "is_root", "ptr", "steps"]
-    return state.filter("done").select(*cols, F.col("ptr").alias("label"), F.lit(False).alias("ring")).unionByName(bound.select(*cols, F.col("_ring").alias("label"), F.lit(True).alias("ring")))
+    ring = open_.select(F.col("id").alias("ptr"), F.col("low").alias("_ring"))
+    bound = lookup(open_, ring, "ptr", _heavy(open_, "ptr", left), "inner")
+    return out.unionByName(bound.select(*cols, F.col("_ring").alias("label"), F.lit(True).alias("ring")))
 
 
 def traverse(ids: list[str], parents: list[str | None], with_lines: bool = True) -> tuple[list[str], list[int], list[str], list[list[int]]]:
@@ -169,10 +182,10 @@ def inner_tree(nodes: DataFrame, roots: DataFrame, with_lines: bool, max_compone
     sizes = parts.groupBy("label").count()
     # Small components share a traversal call; no component is divided.
     total = parts.count()
-    groups = max(1, total // GROUP_NODES)
-    sized = parts.join(sizes, "label")
+    groups = max(1, -(-total // GROUP_NODES))
+    sized = lookup(parts, sizes, "label", heavy_keys(sizes, "label", "count") if total >= MIN_HEAVY_ROWS else [])
     small = sized.filter(F.col("count") <= max_component).withColumn("_g", F.when(F.col("count") >= GROUP_NODES, F.xxhash64("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(groups))))
-    done = small.select("_g", "id", "name", "parent").groupBy("_g").applyInPandas(lambda pdf: _traverse_group(pdf, with_lines), _RESULT)
+    done = small.select("_g", "id", "name", "parent").repartition(min(groups, MAX_TASKS), "_g").groupBy("_g").applyInPandas(lambda pdf: _traverse_group(pdf, with_lines), _RESULT)
     big = sized.filter(F.col("count") > max_component)
     if sizes.filter(F.col("count") > max_component).limit(1).count():
         steps = F.when(F.col("ring"), F.lit(-1)).otherwise(F.col("steps")).cast("long")
@@ -180,16 +193,21 @@ def inner_tree(nodes: DataFrame, roots: DataFrame, with_lines: bool, max_compone
         plain = big.select("id", F.col("label").alias("top_id"), steps.alias("tree_depth"), "ring", none.alias("ancestors"), F.array("name").alias("path"))
         done = done.unionByName(_doubled_paths(big) if with_lines else plain)
     is_root = parts.filter("is_root").select(F.col("id").alias("top_id"), F.lit(True).alias("rooted"))
-    few = is_root.limit(10_001).count() <= 10_000
-    return done.join(F.broadcast(is_root) if few else is_root, "top_id", "left").withColumn("rooted", F.coalesce("rooted", F.lit(False)))
+    if is_root.limit(10_001).count() <= 10_000:
+        rooted = done.join(F.broadcast(is_root), "top_id", "left")
+    else:
+        done = written(done, "traversed")
+        rooted = lookup(done, is_root, "top_id", heavy_keys(done.groupBy("top_id").count(), "top_id", "count"))
+    return rooted.withColumn("rooted", F.coalesce("rooted", F.lit(False)))
 
 
-def resolve(in_effect: DataFrame, roots: DataFrame, with_lines: bool = True, max_component: int = MAX_COMPONENT) -> DataFrame:
+def resolve(in_effect: DataFrame, roots: DataFrame, with_lines: bool = True, max_component: int = MAX_COMPONENT, carry: tuple[str, ...] = ()) -> DataFrame:
     """file_id, top_id, tree_depth, tree_state, ancestors (ids from the top), path (names from the top) of each row in effect.
 
-    Without with_lines ancestors and path are not formed (their size is the sum of all depths).
+    Without with_lines ancestors and path are not formed (their size is the sum of all depths). carry: columns of in_effect that go along.
     """
-    nodes = in_effect.select("file_id", F.when(F.trim("parent_id") != "", F.col("parent_id")).alias("parent_id"), "name")
+    kept = [F.col(c).alias(f"_c_{c}") for c in carry]
+    nodes = in_effect.select("file_id", F.when(F.trim("parent_id") != "", F.col("parent_id")).alias("parent_id"), "name", *kept)
     tree = written(inner_tree(nodes, roots, with_lines, max_component), "tree")
     up = tree.select(F.col("id").alias("parent_id"), "top_id", "tree_depth", "ring", "rooted", F.concat("ancestors", F.array("id")).alias("_line"), "path")
     heavy = heavy_keys(nodes.groupBy("parent_id").count(), "parent_id", "count", MIN_HEAVY_ROWS)
@@ -203,6 +221,7 @@ def resolve(in_effect: DataFrame, roots: DataFrame, with_lines: bool = True, max
         state.alias("tree_state"),
         F.when(loose | F.col("ring"), F.array().cast("array<string>")).otherwise(F.col("_line")).alias("ancestors"),
         F.when(loose | F.col("ring"), F.array("name")).otherwise(F.concat("path", F.array("name"))).alias("path"),
+        *[F.col(f"_c_{c}").alias(c) for c in carry],
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import SOURCE_EXTENSIONS, extension, is_sidecar
+from shelfmark.operators.skew import heavy_keys, lookup
 
 # Names of generated files.
 GENERATED_NAMES = ["_AI_MAP.md", "_AI_NAV.md", "FILE_INDEX.json", "FILE_INDEX_SUMMARY.md", "index_build_status.json", "00_ARCHIVE_LEDGER.md", "archive_ledger.json"]
@@ -36,12 +37,20 @@ def violations(entries: DataFrame) -> DataFrame:
     return entries.select("file_id", p.alias("problem")).filter(F.col("problem").isNotNull())
 
 
-def scoped(entries: DataFrame, places: DataFrame, roots: DataFrame) -> DataFrame:
-    """The entries under some root, with archived: whether that root is an archive. places: of ``hierarchy.places``."""
+CARRIED = ("parent_id", "name", "kind", "size", "sha256", "captured_at", "removed_at")
+
+
+def scoped(resolved: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries under some root, with archived: whether that root is an archive.
+
+    resolved: of ``hierarchy.resolve`` with ``CARRIED`` columns carried along, so the entries are not joined again. Roots are broadcast if
+    they are at most 10,000.
+    """
     roles = roots.groupBy(F.col("file_id").alias("top_id")).agg(F.max(F.col("root_role") == "archive").alias("archived"))
-    few = places.filter(F.col("tree_state") == "rooted").select("file_id", "top_id")
-    own = [c for c in ("file_id", "parent_id", "name", "kind", "size", "sha256", "captured_at", "removed_at") if c in entries.columns]
-    return entries.select(*own).join(few.join(roles, "top_id"), "file_id")
+    rooted = resolved.filter(F.col("tree_state") == "rooted").select("file_id", "top_id", *[c for c in CARRIED if c in resolved.columns])
+    if roots.limit(10_001).count() <= 10_000:
+        return rooted.join(F.broadcast(roles), "top_id")
+    return lookup(rooted, roles, "top_id", heavy_keys(rooted.groupBy("top_id").count(), "top_id", "count"), "inner")
 
 
 def file_class() -> Column:

@@ -197,7 +197,7 @@ def title_labels(spark: SparkSession, sf: str) -> DataFrame:
 def _scope(spark: SparkSession, sf: str) -> DataFrame:
     entries, roots = _t(spark, sf, "entries", "inventory_roots")
     full = written(inventory.in_effect_full(entries), "inventory")
-    return inventory.scoped(full, hierarchy.places(hierarchy.resolve(full, roots, False)), roots)
+    return inventory.scoped(hierarchy.resolve(full, roots, False, carry=inventory.CARRIED), roots)
 
 
 def inventory_ancestry(spark: SparkSession, sf: str) -> DataFrame:

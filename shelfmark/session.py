@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -33,9 +34,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Applications whose folder is deleted at their end.
+_CLEANED: set[str] = set()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/shelfmark/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder. Results not yet read are lost."""
+    remove(spark, _own_dir(spark))
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            clean(spark)
+    except Exception:  # noqa: BLE001 - the JVM may be gone already
+        pass
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/shelfmark/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the application's part of the shared folder, which is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _CLEANED:
+        _CLEANED.add(app)
+        atexit.register(_clean_at_exit, spark)
+    return f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

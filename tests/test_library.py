@@ -164,7 +164,7 @@ def test_inventory_fixture(spark):
     e = spark.createDataFrame(rows, "file_id string, parent_id string, name string, kind string, size long, sha256 string").withColumn("top_id", F.lit("clash"))
     places = spark.createDataFrame([(r[0], "archive" if r[1] == "archive" else "root", "rooted") for r in rows], "file_id string, top_id string, tree_state string")
     roots = spark.createDataFrame([("root", "root"), ("archive", "archive")], "file_id string, root_role string")
-    sc = inventory.scoped(e, places, roots)
+    sc = inventory.scoped(e.drop("top_id").join(places, "file_id"), roots)
     assert {r["class"]: r.n for r in inventory.class_counts(sc).collect()} == {"source_documents": 4, "sidecars": 2, "human_note_files": 1, "generated_files": 1, "archived_files": 1, "folder": 1, "files": 9}
     assert {r.file_id for r in inventory.without_sidecar(sc).collect()} == {"no-brief", "pdf"}
     assert {r.file_id for r in inventory.without_original(sc).collect()} == {"orphan"}
