@@ -20,53 +20,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.arrow import map_batches
+from shelfmark.operators.skew import heavy_keys, lookup
 
-# Letters of one look (a choice from Unicode's confusables). Each line: Latin, then its look-alikes in other scripts.
+# The confusable letters of Latin, Greek, Cyrillic and Armenian in Unicode's data (case by case, those that differ by more
+# than script left out), each line the letters of one look, Latin first where it has one.
 LOOK_ALIKES = """
 A Α А
+Æ Ӕ
+Á Ά
+Ă Ӑ
+Ä Ӓ
 B Β В
 C С Ϲ
+Ç Ҫ
 E Ε Е
+È Ѐ
+É Έ
+Ĕ Ӗ
+Ë Ё
 F Ϝ
 G Ԍ
 H Η Н
 I Ι І Ӏ
+Í Ί
+Ï Ϊ Ї
 J Ј Ϳ
 K Κ К
-M Μ М
+M Μ М Ϻ
 N Ν
 O Ο О Օ
+Ó Ό
+Ö Ӧ
+Ɵ Θ Ѳ Ө ϴ
 P Ρ Р
 Q Ԛ
 S Ѕ Տ
 T Τ Т
+U Ս
 V Ѵ
 W Ԝ
 X Χ Х
-Y Υ Ү
+Y Υ У Ү ϒ
+Ý Ύ ϓ
+Ȳ Ӯ
+Ÿ Ϋ Ӱ ϔ
+Ɏ Ұ
 Z Ζ
-a а
+Ʒ З Ӡ
+Þ Ϸ
+Ɔ Ͻ
+Ə Ә
+Ɛ Ԑ
+Ʃ Σ
+Ʌ Λ Л
+Ƕ Ԋ
+a α а
+æ ӕ
+á ά
+ă ӑ
+ä ӓ
+ƅ ь
 c с ϲ
+ç ҫ
 d ԁ
-e е
+e е ҽ
+è ѐ
+ĕ ӗ
+ë ё
+ę ҿ
+f ք
 g ց
 h һ հ
-i і
+ħ ћ
+i ι і
+í ί
+ï ϊ ї
 j ј ϳ
 l ӏ
-n ո
-o ο о օ
-p р
-q ԛ
+n ո ռ
+ƞ η
+o ο о օ σ
+ó ό
+ö ӧ
+p ρ р
+q ԛ գ զ
+r г
+ŕ ѓ
+ɍ ғ
 s ѕ
-u ս
+u υ ս
+ú ύ
+ü ϋ
 v ν ѵ
-w ԝ
+w ѡ ԝ ա
 x х
-y у ү
-æ ӕ
+y у ү γ
+ȳ ӯ
+ÿ ӱ
+ɏ ұ
+ß β
+þ ϸ
+ĸ κ к
+ǝ ә
+ȝ ӡ
+ȷ յ
+ɸ φ ф
+Γ Г
+Π П
+Φ Ф Փ
+Ψ Ѱ
+π п
+ψ ѱ
+τ т
+δ ծ
+ε є ԑ
 """
-_SCRIPTS = {name: regex.compile(rf"\p{{Script={name}}}") for name in ("Latin", "Greek", "Cyrillic", "Armenian")}
+_SCRIPTS = {name: regex.compile(rf"\p{{Script={name}}}") for name in ("Latin", "Cyrillic", "Greek", "Armenian")}
 # Hyphens of one look.
 HYPHENS = "‐‑－﹣"
 # Decompositions that change the look and are therefore not applied.
@@ -199,15 +268,42 @@ HOT_GROUP_ROWS = 20_000
 SALTS = 16
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """g, n, n_spellings of the looks that stand in different characters; rows: of :func:`marked`, with g."""
+    spellings = rows.groupBy("g", "h").agg(F.count("*").alias("n"))
+    return spellings.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("n_spellings")).filter("n_spellings > 1")
+
+
+def _with_group(rows: DataFrame) -> DataFrame:
+    return rows.distinct().withColumn("g", F.concat_ws("\x01", "field_name", "s"))
+
+
+def _among_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of the groups with their counts; the largest groups are not shuffled by their name."""
+    return lookup(rows, groups, "g", heavy_keys(groups, "g", "n"), "inner")
+
+
+def look_alike_classes(rows: DataFrame) -> DataFrame:
+    """field_name, key, class_id, spelling_id, n_links of each row whose text has a look-alike in other characters.
+
+    n_links: the rows of its class in another spelling. It says the same as :func:`look_alike_pairs` in one row a row. rows: field_name, key, h,
+    s of :func:`marked`.
+    """
+    rows = _with_group(rows)
+    counts = rows.groupBy("g", "h").agg(F.count("*").alias("_own")).withColumn("_gh", F.concat("g", F.lit("\x01"), "h"))
+    mine = _among_groups(rows, _groups(rows)).withColumn("_gh", F.concat("g", F.lit("\x01"), "h"))
+    both = lookup(mine, counts.select("_gh", "_own"), "_gh", heavy_keys(counts, "_gh", "_own"), "inner")
+    return both.select("field_name", "key", F.col("s").alias("class_id"), F.col("h").alias("spelling_id"), (F.col("n") - F.col("_own")).alias("n_links"))
+
+
 def look_alike_pairs(rows: DataFrame) -> DataFrame:
     """field_name, key_a, key_b: keys whose texts have one form but are different strings.
 
     rows: field_name, key, h, s of :func:`marked`. Equal texts are no pair, so a group of copies gives none. Groups with
     different texts are joined within; groups of ``HOT_GROUP_ROWS`` and more are divided by salt on one side.
     """
-    rows = rows.distinct()
-    groups = rows.groupBy("field_name", "s").agg(F.count("*").alias("n"), F.min("h").alias("_low"), F.max("h").alias("_high")).filter(F.col("_low") != F.col("_high"))
-    mine = rows.join(groups.select("field_name", "s", "n"), ["field_name", "s"]).select(F.concat_ws("\x01", "field_name", "s").alias("g"), "field_name", "key", "h", "n")
+    rows = _with_group(rows)
+    mine = _among_groups(rows, _groups(rows)).select("g", "field_name", "key", "h", "n")
     salted = F.when(F.col("n") >= HOT_GROUP_ROWS, F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(F.lit(0))
     every = F.when(F.col("n") >= HOT_GROUP_ROWS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     a = mine.select("g", "field_name", F.col("key").alias("key_a"), F.col("h").alias("h_a"), salted.cast("int").alias("_salt"))

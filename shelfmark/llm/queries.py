@@ -33,6 +33,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return forms.look_alike_pairs(forms.library_texts(_table(spark, sf, "versions"), _table(spark, sf, "pages")))
 
 
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as p6_found as one row per key with its class and number of links."""
+    return forms.look_alike_classes(forms.library_texts(_table(spark, sf, "versions"), _table(spark, sf, "pages")))
+
+
 def p6_page_forms(spark: SparkSession, sf: str) -> DataFrame:
     return forms.with_one_form(_table(spark, sf, "pages").select("version_id", "number", "text"), "text").select("version_id", "number", F.md5("form").alias("form_md5")).distinct()
 
@@ -71,6 +76,6 @@ def p10_residue_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(_table(spark, sf, "documents")).groupBy("kind").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_document_languages, p5_found, p5_repaired_pages, p6_found, p6_page_forms, p6_token_states, p8_containers, p8_fill, p9_found, p9_clean_documents, p9_without_passages, p10_found, p10_residue_kinds)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_document_languages, p5_found, p5_repaired_pages, p6_found, p6_classes, p6_page_forms, p6_token_states, p8_containers, p8_fill, p9_found, p9_clean_documents, p9_without_passages, p10_found, p10_residue_kinds)}
 
 SQL: dict[str, str] = {}

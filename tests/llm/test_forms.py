@@ -19,6 +19,7 @@ def test_equal_looks(a, b, same):
 
 
 def test_token_states_and_spelling():
+    assert [f.one_form(x) for x in ("κ", "Π", "αρι", "Ά")] == [f.one_form(x) for x in ("к", "П", "api", "Á")]
     assert f.token_state("Denolе") == "mixed" and f.token_state("СОР") == "whole" and f.token_state("Привет") == "single" == f.token_state("plain")
     assert f.consistent_spelling("Приа") == "Приа"  # already one script
     assert f.consistent_spelling("Привеa") == "Привеа"  # Cyrillic holds all letters
@@ -47,6 +48,9 @@ def test_pairs_equal_brute_force_also_when_salted(spark, monkeypatch):
         monkeypatch.setattr(f, "HOT_GROUP_ROWS", limit)
         got = {tuple(r) for r in f.look_alike_pairs(f.marked(df, ["field_name", "key"], "text")).collect()}
         assert got == brute(rows) and len(got) > 50
+        classes = f.look_alike_classes(f.marked(df, ["field_name", "key"], "text")).collect()
+        title = [r.n_links for r in classes if r.field_name == "title"]  # one text a key there
+        assert sum(title) == 2 * sum(n == "title" for n, *_ in got) and {(r.field_name, r.key) for r in classes} == {(n, k) for n, a, b in got for k in (a, b)}
     assert f.look_alike_pairs(f.marked(df.limit(0), ["field_name", "key"], "text")).count() == 0
 
 
