@@ -95,7 +95,7 @@ def full_briefs(versions: DataFrame, pages: DataFrame) -> DataFrame:
     hint = label(F.substring(stripped(F.col("text")), 1, 100))
     branch = below.select("version_id", "card", F.col("i").alias("position"), F.concat(F.lit("- [Pages "), F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string"), F.lit("]("), link, F.lit("): "), hint).alias("line"))
     v = once(versions).filter(F.col("document_id").isNotNull() & F.col("source_hash").isNotNull() & F.col("quality").isNotNull())
-    front = front_matter([*identity_fields(), ("fulltext_sha256", F.lower("markdown_hash")), ("brief_method", F.lit(BRIEF_METHOD))])
+    front = front_matter([*identity_fields(), ("fulltext_sha256", F.lower("markdown_hash") if "markdown_hash" in v.columns else F.lit(None).cast("string")), ("brief_method", F.lit(BRIEF_METHOD))])
     heads = v.select("version_id", F.concat(front, F.lit(BRIEF_HEAD)).alias("head"))
     joined = heads.join(_joined(leaf.unionByName(branch), "version_id", "card"), "version_id", "left")
     return joined.select("version_id", F.coalesce("card", F.lit("brief.md")).alias("card"), F.concat("head", F.coalesce("body", F.lit(BRIEF_EMPTY))).alias("markdown"))
