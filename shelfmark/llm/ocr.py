@@ -6,7 +6,10 @@ features decide what is furniture (running headers, page numbers).
 * The vocabulary of ordinary words is counted over all pages without hard line breaks. A word is ordinary from a share
   ``ORDINARY_SHARE`` of all words on, so there are at most ``1 / ORDINARY_SHARE`` of them, whatever the corpus.
 * The editor is trained on misread words of a bounded sample (``TRAINING_PAGES`` scanned pages), each paired with the only
-  ordinary word that one small edit gives. Its proposals, best first, count if they give an ordinary word.
+  ordinary word that one small edit gives. At each place of an unknown word keep competes with the operations that apply there: an
+  operation is out if it leads keep by less than any misreading of the sample did. Those left are tried best first and count if they
+  give an ordinary word; if none does, pairs of operations that the editor prefers to keep are tried.
+* Words under three characters and Chinese characters are not repaired.
 * A version's pages are read in order in blocks of ``BLOCK_PAGES`` with the neighbouring pages as context, so that even a
   version with a third of all pages spreads over many tasks. What recurs exactly at the edges of its pages is counted over
   the whole version before.
@@ -37,14 +40,13 @@ from shelfmark.session import written
 ORDINARY_SHARE = 2e-5
 #: An ordinary word occurs at least so often.
 ORDINARY_LEAST = 4
-#: Pages of the sample at most: the first ones of whole versions.
-TRAINING_PAGES = 3000
+#: Pages of the sample at most, in runs of up to ``TRAINING_RUN`` pages of a version that are chosen by their hash.
+TRAINING_PAGES = 6000
+TRAINING_RUN = 20
 TRAINING_EPOCHS = 8
 BLOCK_PAGES = 64
 #: Pages on each side of a block that are read as its context: two left and two right ones.
 CONTEXT_PAGES = 4
-#: Proposals of the editor that are tried for a word.
-PROPOSALS = 200
 #: Different words of the sample in which a misreading is seen at least to become one of the editor's operations.
 LEAST_SEEN = 3
 #: Two different words are enough if they are seen so often.
@@ -53,9 +55,6 @@ SEEN_OFTEN = 6
 LEAST_SEEN_LENGTH = 5
 #: Share of a version's pages on which bare page numbers of one shape stand at least, if they can't be read.
 RECURS = 0.4
-#: Scanned versions up to this number are broadcast to the pages, beyond it the pages are shuffled.
-BROADCAST_VERSIONS = 300_000
-
 # Marks at a break inside a word.
 MARKS = "-¬­‐"
 # The words of printed page numbers.
@@ -217,48 +216,65 @@ def train_editor(pairs: list[tuple[str, str, int]], words: dict[str, int]) -> Av
                 examples.append((ids, 0))
     for w in words:
         examples += [(ids, 0) for ids in character_features(w)]
-    return AveragedPerceptron(classes).train(examples, TRAINING_EPOCHS)
+    model = AveragedPerceptron(classes).train(examples, TRAINING_EPOCHS)
+    leads = [model.scores(np.array([character_features(w)[i]]))[0] for w, (i, a, b) in edits if operation(a, b) in at]
+    model.floor = min((float(x[at[operation(a, b)]] - x[0]) for x, (a, b) in zip(leads, [(a, b) for _, (_, a, b) in edits if operation(a, b) in at], strict=True)), default=0.0)
+    return model
 
 
 class Editor:
-    """Corrects words by the perceptron's proposals; results are kept by word."""
+    """Corrects words by the perceptron's predictions; results are kept by word."""
 
     def __init__(self, model: AveragedPerceptron, words: dict[str, int]) -> None:
         self.model, self.words = model, words
         self.known: dict[str, tuple[str, int] | None] = {}
+        #: Classes by what they replace; those that put something in apply at every place.
+        self.one: dict[str, list[int]] = defaultdict(list)
+        self.two: dict[str, list[int]] = defaultdict(list)
+        self.put_in: list[int] = []
+        for c, name in enumerate(model.classes):
+            if c:
+                a = name.partition(":")[2].partition(">")[0]
+                (self.put_in if not a else self.one[a] if len(a) == 1 else self.two[a]).append(c)
 
     def learn(self, tokens: set[str]) -> None:
         """Decide many words at once."""
-        todo = [t for t in tokens if t not in self.known and 3 <= len(t) <= 40]
+        todo = [t for t in tokens if t not in self.known and len(t) >= 3]
         for t in tokens:
             self.known.setdefault(t, None)
         for s in range(0, len(todo), 2000):
             part = todo[s : s + 2000]
-            rows, owner, place = [], [], []
-            for n, t in enumerate(part):
-                f = character_features(t)
-                rows += f
-                owner += [n] * len(f)
-                place += range(len(f))
-            scores = self.model.scores(np.array(rows))
+            features = [character_features(t) for t in part]
+            scores = self.model.scores(np.array([f for own in features for f in own]))
             gain = scores - scores[:, :1]
-            gain[:, 0] = -np.inf
-            owner_a, place_a = np.array(owner), np.array(place)
-            starts = np.searchsorted(owner_a, np.arange(len(part) + 1))
-            for n, t in enumerate(part):
-                g = gain[starts[n] : starts[n + 1]]
-                best = np.argpartition(g, -PROPOSALS, axis=None)[-PROPOSALS:] if g.size > PROPOSALS else np.arange(g.size)
-                best = best[np.argsort(-g.ravel()[best], kind="stable")]
-                moves = [(int(place_a[starts[n] + b // g.shape[1]]), self.model.classes[b % g.shape[1]]) for b in best]
-                self.known[t] = self._first(t, moves)
-
-    def _first(self, word: str, moves: list[tuple[int, str]]) -> tuple[str, int] | None:
-        for i, op in moves:
-            if (w := apply_operation(word, i, op)) != word and w in self.words:
+            at = 0
+            for t, own in zip(part, features, strict=True):
+                self.known[t] = self._first(t, self._moves(t, gain[at : at + len(own)]))
+                at += len(own)
+
+    def _moves(self, word: str, gain: np.ndarray) -> list[tuple[float, int, str]]:
+        """(lead over keep, place, operation) of all operations that apply somewhere in the word and that keep does not beat, best first."""
+        where, what = [], []
+        for i in range(len(word) + 1):
+            own = [*self.one.get(word[i : i + 1], ()), *self.two.get(word[i : i + 2], ()), *self.put_in]
+            where += [i] * len(own)
+            what += own
+        if not where:
+            return []
+        leads = gain[where, what]
+        order = [k for k in np.argsort(-leads, kind="stable").tolist() if leads[k] >= self.model.floor]
+        return [(float(leads[k]), where[k], self.model.classes[what[k]]) for k in order]
+
+    def _first(self, word: str, moves: list[tuple[float, int, str]]) -> tuple[str, int] | None:
+        for _, i, op in moves:
+            if (w := apply_operation(word, i, op)) in self.words and w != word:
                 return w, i
-        for n, (i, op) in enumerate(moves[:6]):
-            for j, op2 in moves[:6][n + 1 :]:
-                if abs(i - j) >= 2 and len(word) >= 6:
+        if len(word) < 6:
+            return None
+        sure = [(i, op) for lead, i, op in moves if lead > 0]
+        for n, (i, op) in enumerate(sure):
+            for j, op2 in sure[n + 1 :]:
+                if abs(i - j) >= 2:
                     (x, ox), (y, oy) = sorted([(i, op), (j, op2)], reverse=True)
                     if (w := apply_operation(apply_operation(word, x, ox), y, oy)) in self.words:
                         return w, y
@@ -368,10 +384,14 @@ def same_running(a: tuple[str, tuple], b: tuple[str, tuple]) -> bool:
     return sum(((Counter(a[0]) - Counter(b[0])) + (Counter(b[0]) - Counter(a[0]))).values()) <= 6
 
 
+#: A short word with a capital and a full stop inside of a line.
+_ABBREVIATION = re.compile(r"\b[^\W\d_a-zß-öø-ÿ][a-zß-öø-ÿ]{0,3}\. ")
+
+
 def _looks_like_heading(line: str) -> bool:
     """Neither the beginning nor the end nor the middle of running text."""
     s = line.strip()
-    return not s[:1].islower() and s[-1:] not in MARKS + ".,;:。，；：" and not re.search(r"[.,;] [^\W\d]|[。，；]", s.replace("Ed. ", "").replace("Rev. ", ""))
+    return not s[:1].islower() and s[-1:] not in MARKS + ".,;:。，；：" and not re.search(r"[.,;] [^\W\d]|[。，；]", _ABBREVIATION.sub("", s))
 
 
 def position_features(line: str, rank: int, side: str, width: int, words: dict[str, int]) -> list[int]:
@@ -610,12 +630,14 @@ def _recased(token: str, t: str, word: str) -> str:
 
 def train(pages: DataFrame, scanned: DataFrame, words: dict[str, int]) -> tuple[AveragedPerceptron, AveragedPerceptron | None, AveragedPerceptron | None]:
     """The character editor, the furniture model and the join model, from a bounded sample of scanned pages."""
-    own = scanned.filter("number between 1 and 20").groupBy("version_id").agg(F.count("*").alias("n"))
-    share = bounded_sample(own, ["version_id"], TRAINING_PAGES // 5)
-    rows = scanned.filter(F.col("version_id").isin([r.version_id for r in share])).filter("number between 1 and 20").orderBy("version_id", "number").limit(TRAINING_PAGES).collect()
-    versions: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
+    placed = scanned.withColumn("run", F.floor((F.col("number") - 1) / TRAINING_RUN))
+    chosen = bounded_sample(placed.select("version_id", "run").distinct(), ["version_id", "run"], TRAINING_PAGES // 5)
+    wanted = scanned.sparkSession.createDataFrame([(r.version_id, r.run) for r in chosen], "version_id string, run long")  # at most a few hundred rows
+    picked = placed.join(F.broadcast(wanted), ["version_id", "run"])
+    rows = picked.orderBy("version_id", "number").limit(TRAINING_PAGES).collect()
+    versions: dict[tuple, list[tuple[int, list[str]]]] = defaultdict(list)
     for r in rows:
-        versions[r.version_id].append((r.number, r.text.split("\n")))
+        versions[r.version_id, r.run].append((r.number, r.text.split("\n")))
     plain = Repairer(words, AveragedPerceptron(["keep"]), None)
     examples, texts = [], []
     for own in versions.values():
@@ -640,9 +662,9 @@ def train(pages: DataFrame, scanned: DataFrame, words: dict[str, int]) -> tuple[
 
 def scanned_pages(pages: DataFrame, extractions: DataFrame) -> DataFrame:
     """version_id, number, text of the pages of scanned versions."""
-    marks = scanned_versions(extractions)
-    few = marks.limit(BROADCAST_VERSIONS + 1).count() <= BROADCAST_VERSIONS
-    rows = pages.select("version_id", "number", "text").filter(F.col("text").isNotNull() & F.col("number").isNotNull()).join(F.broadcast(marks) if few else marks, "version_id")
+    marks = written(scanned_versions(extractions), "scanned-versions")
+    # Written, its size is known: Spark broadcasts it below its threshold of bytes and shuffles beyond.
+    rows = pages.select("version_id", "number", "text").filter(F.col("text").isNotNull() & F.col("number").isNotNull()).join(marks, "version_id")
     return rows.filter(F.col("certain") | F.col("text").rlike(_HARD_BREAK)).select("version_id", "number", "text")
 
 

@@ -20,6 +20,8 @@ class AveragedPerceptron:
     def __init__(self, classes: list[str]) -> None:
         self.classes = classes
         self.weights = np.zeros((FEATURE_SPACE, len(classes)), np.float32)
+        #: Lead over the first class from which another class is taken.
+        self.floor = 0.0
 
     def train(self, examples: list[tuple[list[int], int]], epochs: int, seed: int = 7) -> AveragedPerceptron:
         rng = np.random.default_rng(seed)
@@ -47,13 +49,14 @@ class AveragedPerceptron:
         """Scores (n, classes) of n examples with the same number of features each."""
         return self.weights[ids].sum(1)
 
-    def packed(self) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Classes and the rows that are not zero, to be broadcast."""
+    def packed(self) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+        """Classes, the rows that are not zero, and the floor, to be broadcast."""
         rows = np.flatnonzero(self.weights.any(1))
-        return self.classes, rows, self.weights[rows]
+        return self.classes, rows, self.weights[rows], self.floor
 
     @classmethod
-    def unpacked(cls, packed: tuple[list[str], np.ndarray, np.ndarray]) -> AveragedPerceptron:
+    def unpacked(cls, packed: tuple[list[str], np.ndarray, np.ndarray, float]) -> AveragedPerceptron:
         out = cls(packed[0])
         out.weights[packed[1]] = packed[2]
+        out.floor = packed[3]
         return out
