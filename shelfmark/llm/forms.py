@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.arrow import map_batches
 from shelfmark.operators.skew import heavy_keys, lookup
+from shelfmark.session import written
 
 # The confusable letters of Latin, Greek, Cyrillic and Armenian in Unicode's data (case by case, those that differ by more
 # than script left out), each line the letters of one look, Latin first where it has one.
@@ -271,11 +272,12 @@ SALTS = 16
 def _groups(rows: DataFrame) -> DataFrame:
     """g, n, n_spellings of the looks that stand in different characters; rows: of :func:`marked`, with g."""
     spellings = rows.groupBy("g", "h").agg(F.count("*").alias("n"))
-    return spellings.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("n_spellings")).filter("n_spellings > 1")
+    return written(spellings.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("n_spellings")).filter("n_spellings > 1"), "looks")
 
 
 def _with_group(rows: DataFrame) -> DataFrame:
-    return rows.distinct().withColumn("g", F.concat_ws("\x01", "field_name", "s"))
+    """The rows once each, written: they are read for the groups and for the join, and their forms should be made once."""
+    return written(rows.distinct(), "forms").withColumn("g", F.concat_ws("\x01", "field_name", "s"))
 
 
 def _among_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
