@@ -36,15 +36,21 @@ def markdown_images(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?i)!\[|<img\b"), F.lit(False))
 
 
+# What tells the kinds of text beside an original, in order: status, then texts of which one or all must occur.
+SIDECAR_MARKS = [
+    ("OCR_REQUIRED", "any", ["ocr_status:\\s*needs_ocr", "需 OCR 後補摘要"]),
+    ("METADATA_ONLY", "any", ["未做完整摘要與章節抽取", "lite sidecar"]),
+    ("BRIEF_ONLY", "all", ["## 摘要", "## 原始檔"]),
+]
+
+
 def sidecar_status(text: Column) -> Column:
     """What a text file beside an original holds; the first that applies. It never proves a full text."""
-    return (
-        F.when(~has_text(text), "EMPTY")
-        .when(text.rlike(r"ocr_status:\s*needs_ocr|需 OCR 後補摘要"), "OCR_REQUIRED")
-        .when(text.contains("未做完整摘要與章節抽取") | text.contains("lite sidecar"), "METADATA_ONLY")
-        .when(text.contains("## 摘要") & text.contains("## 原始檔"), "BRIEF_ONLY")
-        .otherwise("TEXT_UNVERIFIED")
-    )
+    out = F.when(~has_text(text), "EMPTY")
+    for status, how, marks in SIDECAR_MARKS:
+        hits = F.array(*[text.rlike(m) for m in marks])
+        out = out.when(F.exists(hits, lambda x: x) if how == "any" else F.forall(hits, lambda x: x), status)
+    return out.otherwise("TEXT_UNVERIFIED")
 
 
 def layout_quality(n_with_text: Column, ocr: Column) -> Column:
@@ -63,37 +69,47 @@ def failure_status(code: Column) -> Column:
     return F.when(code.isin(UNSUPPORTED_CODES), "unsupported").otherwise("failed")
 
 
+# What a log says of failed recognition, and what tells the markers of a pipeline's log, by code.
+OCR_FAILURES = ["\\[ocr\\].*failed", "Failed loading language", "Tesseract couldn't load"]
+PIPELINE_MARKS = {
+    "DOCLING_PIPELINE_OSD": "\\bosd\\b|orientation\\s+and\\s+script|script\\s+detection",
+    "DOCLING_PIPELINE_TABLEFALLBACK": "table[\\s_-]*fallback|fallback[\\s_-]*table|orphan[\\s_-]*cells?[^\\n]*(?:fallback|nearest[\\s-]*row)|(?:fallback|nearest[\\s-]*row)[^\\n]*orphan[\\s_-]*cells?",
+    "DOCLING_PIPELINE_WARNING": "\\b(?:error|warning|failed)\\b",
+}
+
+
 def ocr_failed(log: Column) -> Column:
     """A parser's log tells that recognition failed although it ended well."""
-    return F.coalesce(log.rlike(r"(?i)\[ocr\].*failed|Failed loading language|Tesseract couldn't load"), F.lit(False))
+    return F.coalesce(log.rlike(f"(?i){'|'.join(OCR_FAILURES)}"), F.lit(False))
 
 
 def pipeline_markers(log: Column, has_errors: Column) -> Column:
-    """Sorted codes of what a pipeline's log tells; the log itself is never passed on."""
-    osd = log.rlike(r"(?i)\bosd\b|orientation\s+and\s+script|script\s+detection")
-    fallback = log.rlike(r"(?i)table[\s_-]*fallback|fallback[\s_-]*table|orphan[\s_-]*cells?[^\n]*(?:fallback|nearest[\s-]*row)|(?:fallback|nearest[\s-]*row)[^\n]*orphan[\s_-]*cells?")
-    warning = has_errors | log.rlike(r"(?i)\b(?:error|warning|failed)\b")
-    code = lambda c, name: F.when(F.coalesce(c, F.lit(False)), F.lit(name))
-    return F.array_compact(F.array(code(osd, "DOCLING_PIPELINE_OSD"), code(fallback, "DOCLING_PIPELINE_TABLEFALLBACK"), code(warning, "DOCLING_PIPELINE_WARNING")))
+    """Codes of what a pipeline's log tells, in order; errors count as a warning. The log itself is never passed on."""
+    told = F.map_from_arrays(F.array(*map(F.lit, PIPELINE_MARKS)), F.array(*[F.coalesce(log.rlike(f"(?i){p}"), F.lit(False)) | (has_errors if code.endswith("WARNING") else F.lit(False)) for code, p in PIPELINE_MARKS.items()]))
+    return F.map_keys(F.map_filter(told, lambda _, hit: hit))
+
+
+# What a parse request may ask for, each with the code of a request that does not.
+REQUEST_SUFFIXES = [".pdf", ".docx", ".pptx", ".xlsx", ".png", ".jpg", ".jpeg", ".tiff"]
+REQUEST_LANGUAGE = r"^[a-z0-9_]+(?:\+[a-z0-9_]+)*$"
+REQUEST_DEVICES = ["cpu", "cuda"]
+REQUEST_SCALE = (0.1, 8.0)
+REQUEST_CODES = ["DOCLING_PROFILE_UNSUPPORTED", "INVALID_OCR_LANGUAGE", "INVALID_DOCLING_DEVICE", "INVALID_DOCLING_OCR_SCALE"]
 
 
 def request_problem(suffix_col: Column, language: Column, device: Column, scale: Column) -> Column:
-    """First code of an invalid parse request; null if it is valid."""
-    return (
-        F.when(~F.coalesce(suffix_col.isin(".pdf", ".docx", ".pptx", ".xlsx", ".png", ".jpg", ".jpeg", ".tiff"), F.lit(False)), "DOCLING_PROFILE_UNSUPPORTED")
-        .when(~F.coalesce(language.rlike(r"^[a-z0-9_]+(?:\+[a-z0-9_]+)*$"), F.lit(False)), "INVALID_OCR_LANGUAGE")
-        .when(~F.coalesce(device.isin("cpu", "cuda"), F.lit(False)), "INVALID_DOCLING_DEVICE")
-        .when(scale.isNull() | F.isnan(scale) | ~scale.between(0.1, 8.0), "INVALID_DOCLING_OCR_SCALE")
-    )
+    """First code of an invalid parse request; null if it is valid. A missing part is invalid."""
+    valid = [suffix_col.isin(REQUEST_SUFFIXES), language.rlike(REQUEST_LANGUAGE), device.isin(REQUEST_DEVICES), ~F.isnan(scale) & scale.between(*REQUEST_SCALE)]
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), code) for ok, code in zip(valid, REQUEST_CODES, strict=True)])
 
 
 # What must not be in a public tree.
 LEAK_PATTERNS = {
     "private-key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
-    "github-token": r"gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{40,}",
+    "github-token": r"(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{40,})",
     "google-token": r"ya29\.[A-Za-z0-9_-]{25,}",
     "cloud-document-url": r"(?:drive|docs)\.google\.com/(?:file/d/|drive/folders/|document/d/|spreadsheets/d/)[A-Za-z0-9_-]{15,}",
-    "private-windows-path": r"(?i)[A-Z]:[\\/](?:Users|projects)[\\/][^\s\"']+",
+    "private-windows-path": r"(?i)[A-Za-z]:[\\/](?:Users|projects)[\\/][^\s\"']+",
     "private-unix-path": r"/(?:home|Users)/[A-Za-z0-9_.-]+/",
 }
 
