@@ -75,9 +75,12 @@ def inventory_snapshot(spark: SparkSession, path: str) -> DataFrame:
         F.get_json_object("value", "$.schema_version").alias("v"),
         F.expr("schema_of_variant(variant_get(try_parse_json(value), '$.meta.complete'))").alias("kind"),
         F.get_json_object("value", "$.meta.complete").alias("complete"),
+        F.from_json("value", "entries array<struct<size string>>")["entries"].alias("given"),
     )
-    row = checked.select("v", "kind", "complete", F.col("s.entries").isNull().alias("none")).limit(2).collect()
-    if len(row) != 1 or row[0].v != "1.0.0" or row[0].none:
+    # A size that is there but no whole number, or below 0, is no size.
+    odd = F.exists(F.arrays_zip(F.transform("given", lambda x: x["size"]).alias("g"), F.transform("s.entries", lambda x: x["size"]).alias("n")), lambda x: x["g"].isNotNull() & (x["n"].isNull() | (x["n"] < 0)))
+    row = checked.select("v", "kind", "complete", F.col("s.entries").isNull().alias("none"), F.coalesce(odd, F.lit(False)).alias("odd")).limit(2).collect()
+    if len(row) != 1 or row[0].v != "1.0.0" or row[0].none or row[0].odd:
         raise ValueError("INVENTORY_SCHEMA")
     if row[0].kind != "BOOLEAN" or row[0].complete != "true":
         raise ValueError("INCOMPLETE_INVENTORY")

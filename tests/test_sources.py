@@ -36,6 +36,10 @@ def test_inventory_snapshot(spark, tmp_path, complete, code):
             files.inventory_snapshot(spark, f"file://{p}")
     else:
         assert files.inventory_snapshot(spark, f"file://{p}").first().integrity == {"sha256": "x"}
+    for size in (True, -1, 1.5, "x"):
+        p.write_text(json.dumps({"schema_version": "1.0.0", "meta": {"complete": True}, "entries": [{"file_id": "a", "name": "n", "kind": "file", "size": size}]}))
+        with pytest.raises(ValueError, match="INVENTORY_SCHEMA"):
+            files.inventory_snapshot(spark, f"file://{p}")
     p.write_text(json.dumps({"schema_version": "2"}))
     with pytest.raises(ValueError, match="INVENTORY_SCHEMA"):
         files.inventory_snapshot(spark, f"file://{p}")
