@@ -307,6 +307,9 @@ body AS (SELECT version_id, card, string_agg(line || '\n', '' ORDER BY position)
 briefs AS (SELECT version_id, coalesce(card, 'brief.md') AS card, {_FRONT} || '\nfulltext_sha256: ' || coalesce(to_json(lower(markdown_hash))::VARCHAR, 'null') || '\nbrief_method: "{navigation.BRIEF_METHOD}"\n---\n\n{navigation.BRIEF_HEAD}' || coalesce(b, '{navigation.BRIEF_EMPTY}') AS markdown
   FROM (SELECT DISTINCT version_id, document_id, source_hash, quality, markdown_hash FROM versions WHERE document_id IS NOT NULL AND source_hash IS NOT NULL AND quality IS NOT NULL) v LEFT JOIN body USING (version_id))"""
 _BRIEFS = f"{_V}, {_P}, {_BRIEF_PARTS}"
+# In a bundle a version belongs to the document that it is the current one of.
+_OWN_VERSIONS = "(SELECT DISTINCT version_id, document_id, source_hash, quality, markdown_hash FROM versions WHERE document_id IS NOT NULL AND source_hash IS NOT NULL AND quality IS NOT NULL)"
+_BUNDLED = "(SELECT DISTINCT x.version_id, cur.document_id, x.source_hash, x.quality, x.markdown_hash FROM versions x JOIN cur ON cur.version_id = x.version_id WHERE x.source_hash IS NOT NULL AND x.quality IS NOT NULL)"
 
 
 def _catalog(entries: str, title: str) -> str:
@@ -339,11 +342,11 @@ def _renamed(parts: str, mark: str) -> str:
     return re.sub(r"\b(walk|lines|cards)\b", rf"{mark}_\1", parts)
 
 
-_BUNDLE = f"""{_CUR}, {_P}, {_renamed(_BRIEF_PARTS, "b")}, {_renamed(_catalog(_KIND_ENTRIES, "g"), "k")}, {_renamed(_catalog(_MAP_ENTRIES, "'Library map'"), "m")},
+_BUNDLE = f"""{_CUR}, {_P}, {_renamed(_BRIEF_PARTS.replace(_OWN_VERSIONS, _BUNDLED), "b")}, {_renamed(_catalog(_KIND_ENTRIES, "g"), "k")}, {_renamed(_catalog(_MAP_ENTRIES, "'Library map'"), "m")},
 fbody AS (SELECT version_id, string_agg('\n## Page ' || number || '\n\n' || {_RENDERED} || '\n', '' ORDER BY number) AS b FROM pg0 GROUP BY 1),
 files AS (
   SELECT 'documents/' || version_id || '/full.md' AS path, {_FRONT} || '\n---\n\n# ' || replace(coalesce(metadata.title, filename, ''), '\n', ' ') || '\n\n{reading.NOTICE}\n' || coalesce(b, '') AS content FROM cur LEFT JOIN fbody USING (version_id) WHERE document_id IS NOT NULL AND source_hash IS NOT NULL AND quality IS NOT NULL
-  UNION ALL SELECT 'documents/' || version_id || '/' || card, markdown FROM (SELECT b.version_id, card, replace(markdown, to_json(o.document_id)::VARCHAR, to_json(cur.document_id)::VARCHAR) AS markdown FROM briefs b JOIN cur USING (version_id) JOIN v o USING (version_id))
+  UNION ALL SELECT 'documents/' || version_id || '/' || card, markdown FROM briefs
   UNION ALL SELECT card, markdown FROM k_cards
   UNION ALL SELECT card, markdown || CASE WHEN card = '_AI_MAP.md' THEN '{navigation.MAP_END}' ELSE '' END FROM m_cards
   UNION ALL SELECT '00_CONSTITUTION.md', '# Library reading rules\n\n{"\n\n".join(r.replace("'", "''") for r in bundle.RULES)}\n')"""
